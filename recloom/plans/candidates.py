@@ -217,13 +217,15 @@ def assemble(
     columns: Mapping[int, str] = AFFINITY_COLUMNS,
     recency_cap: int = RECENCY_CAP,
     carry: tuple[str, ...] = ("top_n",),
+    catalog: DataFrame | None = None,
     max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """All candidates of all requests with ranker features and ``excl_reason`` (NULL = keep).
 
-    ``requests`` come from ``attach_player``. ``norm_scope`` chooses the popularity normaliser:
-    the whole catalogue's top (at least 1), the top of what the market shows, or the top of what
-    this request keeps.
+    ``requests`` come from ``attach_player``, ``market`` from ``market_items``; stage the latter
+    first, it is read several times. ``norm_scope`` chooses the popularity normaliser: the top of
+    the whole ``catalog`` (its item profile; at least 1), the top of what the market shows, or
+    the top of what this request keeps.
     """
     if norm_scope not in NORM_SCOPES:
         raise ValueError(f"norm_scope must be one of {NORM_SCOPES}")
@@ -234,7 +236,9 @@ def assemble(
     elif norm_scope == "eligible":
         most = F.array_max(F.transform(open_groups(), lambda g: g["most"]))
     else:
-        most = F.greatest(market.agg(F.max("rounds_30d")).scalar(), F.lit(1))
+        if catalog is None:
+            raise ValueError("norm_scope 'catalog' needs the item profile")
+        most = F.greatest(catalog.agg(F.max("rounds_30d")).scalar(), F.lit(1))
     wide = wide.withColumn("_most", most).drop("groups", "market_most")
 
     category = F.col("category_id")

@@ -2,12 +2,111 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recloom.functions.scalars import trend_index
+from recloom.functions.scalars import card_score, match_percent, trend_index
 from recloom.operators.ranking import top_per_group
 
+RECOMMENDED = "recommended_for_you"
+TRENDING = "trending_in_market"
+SIMILAR = "because_you_played"
+MAX_PER_CATEGORY = 4
+
+
+def best_first() -> list[Column]:
+    """By score; the lower id wins a tie."""
+    return [F.desc("score"), F.col("game_title_id")]
+
+
+def longest_rail(requests: DataFrame) -> int:
+    """The largest ``top_n`` asked for: one number, which lets Spark cut groups before it shuffles them."""
+    return int(requests.agg(F.coalesce(F.max("top_n"), F.lit(0))).first()[0])
+
+
+def cut(df: DataFrame, group: Sequence[str], order: Sequence[Column], longest: int) -> DataFrame:
+    """The first ``top_n`` rows of each group, ``top_n`` being a column of at most ``longest``."""
+    return top_per_group(df, group, order, longest).filter(F.col("rank") <= F.col("top_n"))
+
+
+def diversify(scored: DataFrame, longest: int, max_per_cat: int = MAX_PER_CATEGORY) -> DataFrame:
+    """Best first, at most ``max_per_cat`` per category, then the first ``top_n``."""
+    capped = top_per_group(scored, ["request_id", "category_id"], best_first(), max_per_cat, "_in_category")
+    return cut(capped.drop("_in_category"), ["request_id"], best_first(), longest)
+
+
+def trending(scored: DataFrame, longest: int) -> DataFrame:
+    """Most played first, with a 0..100 index against the rail's own top."""
+    top = cut(scored, ["request_id"], [F.desc("rounds_30d"), F.col("game_title_id")], longest)
+    most = F.max("rounds_30d").over(Window.partitionBy("request_id"))
+    return top.withColumn("trend_score", trend_index(F.col("rounds_30d"), most))
+
+
+def because_you_played(scored: DataFrame, longest: int) -> DataFrame:
+    """Best of the category of the item last played (``played_category`` of the request)."""
+    return cut(
+        scored.filter(F.col("category_id") == F.col("played_category")), ["request_id"], best_first(), longest
+    )
+
+
+def played_category(requests: DataFrame, items: DataFrame) -> DataFrame:
+    """Look up the category of each request's ``because_you_played``; unknown items give NULL."""
+    played = items.select(
+        F.col("game_title_id").alias("because_you_played"), F.col("category_id").alias("played_category")
+    )
+    return requests.join(played, "because_you_played", "left")
+
+
+def rails(scored: DataFrame, longest: int, max_per_cat: int = MAX_PER_CATEGORY) -> DataFrame:
+    """All rails of all requests, one row per (request, rail, rank).
+
+    ``scored`` carries ``top_n`` and, for the third rail, ``played_category``.
+    """
+    none = F.lit(None).cast("int")
+    parts = [
+        (RECOMMENDED, diversify(scored, longest, max_per_cat).withColumn("trend_score", none)),
+        (TRENDING, trending(scored, longest)),
+    ]
+    if "played_category" in scored.columns:
+        parts.append((SIMILAR, because_you_played(scored, longest).withColumn("trend_score", none)))
+    out = None
+    for name, part in parts:
+        rail = part.withColumn("rail", F.lit(name))
+        out = rail if out is None else out.unionByName(rail)
+    return out
+
+
+def cards(railed: DataFrame, items: DataFrame, categories: DataFrame) -> DataFrame:
+    """What a page shows of each ranked item. Titles are joined here, to the few rows that were kept."""
+    names = items.select("game_title_id", "game_title", "studio_name", "tile_image_url", "tile_color_hex")
+    kinds = categories.select("category_id", "category_name", "vertical")
+    return (
+        railed.join(names, "game_title_id")
+        .join(kinds, "category_id")
+        .select(
+            "request_id",
+            "player_id",
+            "region_code",
+            "rail",
+            "rank",
+            "game_title_id",
+            F.col("game_title").alias("title"),
+            F.col("studio_name").alias("studio"),
+            F.col("category_name").alias("category"),
+            "category_id",
+            "vertical",
+            F.col("tile_image_url").alias("tile_url"),
+            F.col("tile_color_hex").alias("tile_color"),
+            card_score(F.col("score")).alias("score"),
+            card_score(F.col("score")).alias("model_score"),
+            "boosted",
+            "trend_score",
+            match_percent(F.col("score")).alias("match_pct"),
+        )
+    )
+
 
 def trending_in_market(eligible: DataFrame, profile: DataFrame, top_n: int) -> DataFrame:
     """The most played eligible items of each market with their 0..100 index."""

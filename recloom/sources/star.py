@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recloom.sources.tables import values
+
 SOURCE_SCHEMAS = {
     "region": "r_regionkey INT, r_name STRING",
     "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
@@ -66,7 +68,8 @@ class Star:
 
     @cached_property
     def categories(self) -> DataFrame:
-        return self.spark.createDataFrame(
+        return values(
+            self.spark,
             CATEGORY_ROWS,
             "category_id BIGINT, category_code STRING, vertical STRING, subvertical STRING, category_name STRING",
         )
@@ -159,8 +162,8 @@ class Star:
 
     @cached_property
     def market_category_exclusion(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            [("ASIA", 4, "not licensed")], "region_code STRING, category_id BIGINT, reason STRING"
+        return values(
+            self.spark, [("ASIA", 4, "not licensed")], "region_code STRING, category_id BIGINT, reason STRING"
         )
 
     @cached_property

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from recloom.schemas import TABLES
 
@@ -29,14 +30,29 @@ def scan(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{root.rstrip('/')}/{name}")
 
 
+def values(spark: SparkSession, rows: Iterable[Sequence], ddl: str) -> DataFrame:
+    """Hand-written rows inside the plan: the optimizer knows that they are few, so joins to them broadcast."""
+    rows = [tuple(row) for row in rows]
+    schema = StructType.fromDDL(ddl)
+    if not rows:
+        return spark.createDataFrame([], schema)
+    table = F.array(
+        *[
+            F.struct(*[F.lit(cell).cast(f.dataType).alias(f.name) for cell, f in zip(row, schema.fields, strict=True)])
+            for row in rows
+        ]
+    )
+    return spark.range(1).select(F.inline(table))
+
+
 def literal_rows(spark: SparkSession, name: str, rows: Iterable[Sequence]) -> DataFrame:
-    """Hand-written rows (dimensions, policies) as a typed frame."""
-    return spark.createDataFrame(list(rows), schema=TABLES[name])
+    """Hand-written rows of a declared table (dimensions, policies)."""
+    return values(spark, rows, TABLES[name])
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Project ``df`` onto the declared columns of ``name``: cast, fill absent ones, apply defaults."""
-    schema = df.sparkSession.createDataFrame([], TABLES[name]).schema
+    schema = StructType.fromDDL(TABLES[name])
     truthy, falsy = DEFAULT_TRUE.get(name, []), DEFAULT_FALSE.get(name, [])
     out = []
     for field in schema.fields:
