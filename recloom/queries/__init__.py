@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["features", "candidates"]
+MODULES = ["features", "candidates", "joins"]
 
 
 def load():
