@@ -7,8 +7,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from recloom.functions import hashing
+
 RECENCY_CAP = 10
-HEX_SPACE = 1_000_000_000
+SESSION_SPACE = 1_000_000_000
 
 
 def instant(value: str | datetime | Column) -> Column:
@@ -109,9 +111,10 @@ def local_part(email: Column) -> Column:
     return F.split_part(email, F.lit("@"), F.lit(1))
 
 
-def daily_session(player: Column, day: Column) -> Column:
+def daily_session(player: Column, day: Column, hasher: hashing.Hasher = hashing.mixed) -> Column:
     """A session number per player and day."""
-    return F.pmod(F.xxhash64(player, day), F.lit(HEX_SPACE))
+    day_number = F.datediff(day, F.lit("1970-01-01").cast("date"))
+    return hasher([player, day_number], 0) % SESSION_SPACE
 
 
 def pick(values: list[str], index: Column) -> Column:

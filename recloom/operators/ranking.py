@@ -17,11 +17,6 @@ from recloom.functions import hashing
 BUCKET_BITS = 16
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on all ``keys``; true when there are none."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group with their 1-based rank.
 
@@ -32,26 +27,24 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return ranked.filter(F.col(name) <= k)
 
 
-def hash_rank(
+def bucketed_rank(
     df: DataFrame,
-    keys: Sequence[str],
-    seed: int,
+    order: Sequence[str],
+    bucket: Column,
     group: Sequence[str] = (),
     quota: int | str | None = None,
-    hasher: hashing.Hasher = hashing.mixed,
-    name: str = "hash_rank",
+    name: str = "rank",
 ) -> DataFrame:
-    """Add the exact 1-based rank of each row in hash order, per ``group`` or over everything.
+    """Add the exact 1-based rank of each row by ``order``, per ``group`` or over everything.
 
-    With ``quota`` (a number, or SQL over ``group_rows``, the size of the group) only the
-    first rows are kept; buckets wholly beyond it are dropped before the shuffle. ``keys``
-    must identify a row, which makes the order total.
+    ``order`` must identify a row inside its group. ``bucket`` is a whole number below 2^16
+    that never falls as ``order`` rises. With ``quota`` (a number, or SQL over ``group_rows``,
+    the size of the group) only the first rows are kept, and buckets wholly beyond it are
+    dropped before the shuffle.
     """
-    hashed = df.withColumn("_hash", hasher([F.col(k) for k in keys], seed)).withColumn(
-        "_bucket", F.shiftright("_hash", 31 - BUCKET_BITS)
-    )
+    placed = df.withColumn("_bucket", bucket)
     where = [*group, "_bucket"]
-    counts = hashed.groupBy(*where).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = placed.groupBy(*where).agg(F.count(F.lit(1)).alias("_rows"))
     # At most 2^16 rows per group from here on.
     along = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
@@ -64,12 +57,35 @@ def hash_rank(
         limit = F.lit(quota) if isinstance(quota, int) else F.expr(quota)
         starts = starts.withColumn("_quota", limit).filter(F.col("_start") < F.col("_quota"))
     match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in where])
-    joined = hashed.join(starts, match).drop(*[f"_s_{c}" for c in where])
-    inside = Window.partitionBy(*where).orderBy("_hash", *keys)
+    joined = placed.join(starts, match).drop(*[f"_s_{c}" for c in where])
+    inside = Window.partitionBy(*where).orderBy(*order)
     ranked = joined.withColumn(name, F.col("_start") + F.row_number().over(inside))
     if quota is not None:
         ranked = ranked.filter(F.col(name) <= F.col("_quota")).drop("_quota")
-    return ranked.drop("_hash", "_bucket", "_start", "group_rows")
+    return ranked.drop("_bucket", "_start", "group_rows")
+
+
+def hash_rank(
+    df: DataFrame,
+    keys: Sequence[str],
+    seed: int,
+    group: Sequence[str] = (),
+    quota: int | str | None = None,
+    hasher: hashing.Hasher = hashing.mixed,
+    name: str = "hash_rank",
+) -> DataFrame:
+    """``bucketed_rank`` in hash order: a random but reproducible order of rows identified by ``keys``."""
+    hashed = df.withColumn("_hash", hasher([F.col(k) for k in keys], seed))
+    bucket = F.shiftright("_hash", 31 - BUCKET_BITS)
+    return bucketed_rank(hashed, ["_hash", *keys], bucket, group, quota, name).drop("_hash")
+
+
+def number_rank(df: DataFrame, key: str, group: Sequence[str] = (), name: str = "rank") -> DataFrame:
+    """``bucketed_rank`` by a whole-number key that is unique inside its group."""
+    span = df.agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    low, high = span.select("low").scalar(), span.select("high").scalar()
+    share = (F.col(key) - low).cast("double") / (high - low + 1).cast("double")
+    return bucketed_rank(df, [key], F.floor(share * (1 << BUCKET_BITS)), group, name=name)
 
 
 def hash_sample(

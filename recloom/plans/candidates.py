@@ -17,7 +17,7 @@ from recloom.functions.scalars import RECENCY_CAP, ratio, recency_norm, resolve_
 from recloom.operators.bounds import BROADCAST_ROWS, fits_broadcast
 from recloom.operators.ranking import top_per_group
 from recloom.plans.eligibility import flag_policies, in_market, region_list
-from recloom.plans.features import affinity_map
+from recloom.plans.features import affinity_map, affinity_of
 from recloom.schemas import AFFINITY_COLUMNS
 from recloom.session import work_partitions
 
@@ -49,9 +49,13 @@ def attach_player(
     policies: Mapping[str, DataFrame],
     recent: DataFrame | None = None,
     columns: Mapping[int, str] = AFFINITY_COLUMNS,
+    recent_key: str = "player_id",
 ) -> DataFrame:
     """Add the player's features and exclusions to each request.
 
+    ``recent`` holds plays per ``recent_key`` and category: by player when all requests look at the
+    same instant, by request when each has its own.
+
     The per-player arrays and maps are keyed by catalogue categories (hence the semi joins),
     so none is longer than the category table.
     """
@@ -79,13 +83,13 @@ def attach_player(
     else:
         counts = (
             recent.join(known, "category_id", "left_semi")
-            .groupBy("player_id")
+            .groupBy(recent_key)
             .agg(
                 F.map_from_entries(F.sort_array(F.collect_list(F.struct("category_id", "plays")))).alias("recent"),
                 F.max("feature_source").alias("feature_source"),
             )
         )
-        out = out.join(counts, "player_id", "left").withColumn(
+        out = out.join(counts, recent_key, "left").withColumn(
             "feature_source", F.coalesce("feature_source", F.lit("sql"))
         )
     return (
@@ -242,8 +246,7 @@ def assemble(
     wide = wide.withColumn("_most", most).drop("groups", "market_most")
 
     category = F.col("category_id")
-    fallback = F.col("affinities")[F.lit(next(iter(columns))).cast("bigint")]
-    share = F.when(category.isin(*columns), F.col("affinities")[category]).otherwise(fallback)
+    share = affinity_of(F.col("affinities"), category, columns)
     plays = F.coalesce(F.col("recent")[category], F.lit(0))
     return expand(wide, market, max_broadcast_rows).select(
         "request_id",

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recloom.functions.scalars import before, decay_units, div0, instant, popularity_trend
+from recloom.functions.scalars import before, decay_units, div0, flag, instant, popularity_trend
 from recloom.schemas import AFFINITY_COLUMNS
 
 MONEY = "decimal(38,6)"
@@ -143,6 +143,12 @@ def affinity_map(columns: Mapping[int, str] = AFFINITY_COLUMNS) -> Column:
     )
 
 
+def affinity_of(shares: Column, category: Column, columns: Mapping[int, str] = AFFINITY_COLUMNS) -> Column:
+    """The share of ``category`` in a map; categories without a column of their own use the first one."""
+    fallback = shares[F.lit(next(iter(columns))).cast("bigint")]
+    return F.when(category.isin(*columns), shares[category]).otherwise(fallback)
+
+
 def item_profile(rollup: DataFrame, items: DataFrame, categories: DataFrame) -> DataFrame:
     """Popularity, trend and revenue of each item with its catalogue attributes; unplayed items are kept."""
     played = rollup.groupBy("game_title_id").agg(
@@ -190,6 +196,27 @@ def interactions(rollup: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def behavior_view(behavior: DataFrame) -> DataFrame:
+    """The behaviour table as a timestamped feature view keyed by player."""
+    stamp = F.coalesce("last_activity_ts", instant("2020-01-01 00:00:00"))
+    return behavior.select(
+        "player_id", "total_rounds", "distinct_games", "rounds_7d", "rounds_30d", "rounds_90d", "total_stake_eur",
+        "avg_stake_eur", "total_ggr_eur", "days_since_last_play", "player_segment", "pref_vertical",
+        "pref_subvertical", "region_code", stamp.alias("last_activity_ts"),
+    )
+
+
+def item_view(profile: DataFrame) -> DataFrame:
+    """The item profile as a timestamped feature view keyed by item."""
+    return profile.select(
+        "game_title_id", "category_id", "vertical", "subvertical",
+        F.col("return_to_player_pct").cast("double").alias("return_to_player_pct"),
+        flag(F.col("has_jackpot_yn")).alias("has_jackpot"),
+        "rounds_30d", "players_30d", "ggr_30d_eur", "popularity_trend",
+        F.coalesce("last_played_ts", instant("2020-01-01 00:00:00")).alias("last_played_ts"),
+    )
+
+
 def affinity_by_segment(affinity: DataFrame, behavior: DataFrame, segment: str, columns: Mapping[str, str]) -> DataFrame:
     """Average of affinity columns within one segment against all others (skew check).
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["features", "candidates", "joins"]
+MODULES = ["features", "candidates", "joins", "projections"]
 
 
 def load():
