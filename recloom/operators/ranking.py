@@ -136,7 +136,7 @@ def auc(scored: DataFrame, label: str, score: str) -> DataFrame:
         .agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg"))
         .withColumn("_bucket", F.floor(F.least(F.greatest(F.col("_s"), F.lit(0.0)), F.lit(1.0)) * (1 << BUCKET_BITS)))
     )
-    along = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         per_score.groupBy(F.col("_bucket").alias("_b"))
         .agg(F.sum("_neg").alias("_n"))

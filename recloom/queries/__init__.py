@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["features", "candidates", "joins", "projections"]
+MODULES = ["features", "candidates", "joins", "projections", "windows", "policies", "learning"]
 
 
 def load():

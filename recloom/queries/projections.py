@@ -222,8 +222,10 @@ def pf14(star: Star) -> DataFrame:
     CANDIDATES
     + """SELECT r.request_id, r.rail, r.rank, r.game_title_id, g.game_title AS title, g.studio_name AS studio,
            c.category_name AS category, r.category_id, c.vertical, g.tile_image_url AS tile_url,
-           g.tile_color_hex AS tile_color, r.boosted, r.trend_score, round(r.score, 4) AS score
-         FROM railed r JOIN items g USING (game_title_id) JOIN categories c ON c.category_id = r.category_id""",
+           g.tile_color_hex AS tile_color, r.boosted, r.trend_score,
+           CAST((q + CASE WHEN x - q > 0.5 OR (x - q = 0.5 AND q % 2 = 1) THEN 1 ELSE 0 END) AS DOUBLE) / 10000 AS score
+         FROM (SELECT *, floor(x) AS q FROM (
+           SELECT *, CAST(CAST(score AS VARCHAR) AS DECIMAL(30,20)) * 10000 AS x FROM railed)) r JOIN items g USING (game_title_id) JOIN categories c ON c.category_id = r.category_id""",
 )
 def pf15(star: Star) -> DataFrame:
     return rails.cards(run(star).rails, star.items, star.categories).drop(
