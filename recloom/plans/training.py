@@ -22,6 +22,8 @@ N_POSITIVES = 60_000
 ATTEMPTS = 5
 SEED = 42
 TREES = {"maxIter": 120, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9"}
+# Minus infinity cannot be read back from a saved model's parameters.
+NO_BOUND = -1e300
 PROPENSITY_EXTRA = ["rounds_30d", "avg_stake_eur", "days_since_last_play"]
 
 
@@ -186,7 +188,7 @@ def fit_ranker(train: DataFrame, monotone: bool = True, columns: Sequence[str] =
     ``monotone=False`` trains boosted trees instead.
     """
     if monotone:
-        lower = [0.0 if c == "recent_cat_activity_norm" else float("-inf") for c in columns]
+        lower = [0.0 if c == "recent_cat_activity_norm" else NO_BOUND for c in columns]
         learner = LogisticRegression(
             featuresCol="features",
             labelCol="label",

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["features", "candidates", "joins", "projections", "windows", "policies", "learning"]
+MODULES = ["features", "candidates", "joins", "projections", "windows", "policies", "learning", "streams"]
 
 
 def load():
