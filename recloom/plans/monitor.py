@@ -112,11 +112,11 @@ def volume(log: DataFrame, segment: str = "region_code", unit: str = "day") -> D
 
 
 def long_form(log: DataFrame, columns: Sequence[str], segment: str, unit: str) -> DataFrame:
-    """One row per logged value: (period, segment, metric, value)."""
+    """One row per logged value: (period, segment, metric, value); a NaN counts as missing."""
     return log.select(
         F.date_trunc(unit, "event_ts").cast("timestamp_ntz").alias("period"),
         segment,
-        *[F.col(c).cast("double").alias(c) for c in columns],
+        *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns],
     ).unpivot(["period", segment], list(columns), "metric", "value")
 
 

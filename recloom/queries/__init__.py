@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["features", "candidates", "joins", "projections", "windows", "policies", "learning", "streams"]
+MODULES = ["features", "candidates", "joins", "projections", "windows", "policies", "learning", "streams", "monitoring", "storage"]
 
 
 def load():

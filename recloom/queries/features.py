@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recloom.functions.scalars import before, instant
-from recloom.operators import ranking
-from recloom.plans import eligibility, features
+from recloom.plans import eligibility, features, rails
 from recloom.queries.registry import query
 from recloom.sources.star import AFFINITY, EVENTS_AS_OF, ROUNDS_AS_OF, Star
 
@@ -167,6 +166,4 @@ def rc1(star: Star) -> DataFrame:
          FROM ranked WHERE rank <= 12""",
 )
 def sl2(star: Star) -> DataFrame:
-    from recloom.plans.rails import trending_in_market
-
-    return trending_in_market(eligible(star), profile(star), 12)
+    return rails.trending_in_market(eligible(star), profile(star), 12)
