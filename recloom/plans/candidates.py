@@ -23,6 +23,8 @@ from recloom.session import work_partitions
 
 NORM_SCOPES = ("catalog", "market", "eligible")
 TRACE_EXCLUSIONS = 200
+# Far above the rounding of a score in 0..1, far below a visible difference.
+MARGIN = 1e-9
 
 
 def resolve_requests(
@@ -214,6 +216,42 @@ def expand(requests: DataFrame, market: DataFrame, max_broadcast_rows: int = BRO
     return salted.join(copies, ["region_code", "_salt"]).drop("_salt")
 
 
+def catalog_top(catalog: DataFrame | None) -> Column:
+    """The most played item of the whole catalogue, at least 1."""
+    if catalog is None:
+        raise ValueError("norm_scope 'catalog' needs the item profile")
+    return F.greatest(catalog.agg(F.max("rounds_30d")).scalar(), F.lit(1))
+
+
+def heads(market: DataFrame, item_part: str, k: int, catalog_most: Column | None = None) -> DataFrame:
+    """The items that can reach a rail of length ``k`` when the score adds an item part to a player part.
+
+    Inside one market and category all candidates of a request share the player's features, so their
+    order is that of ``item_part``, an SQL expression over ``game_rounds_30d_norm``,
+    ``popularity_trend`` and ``rtp_frac``. Items with equal features have equal scores, so the lowest
+    ``k`` ids of each feature combination suffice; of those, the best ``k`` per category stay, and
+    whatever lies within ``MARGIN`` of them, because rounding may still swap such neighbours. The
+    most played ``k`` per category stay for the trending rail.
+    """
+    place = ["region_code", "category_id", "subvertical"]
+    shape = ["rounds_30d", "popularity_trend", "rtp_frac"]
+    open_items = market.filter("market_reason IS NULL")
+    if catalog_most is None:
+        most = market.groupBy("region_code").agg(F.max("rounds_30d").alias("_most"))
+        normed = open_items.join(most, "region_code")
+    else:
+        normed = open_items.withColumn("_most", catalog_most)
+    rated = normed.withColumn(
+        "game_rounds_30d_norm", F.coalesce(ratio(F.col("rounds_30d"), F.col("_most")), F.lit(0.0))
+    ).withColumn("_part", F.expr(item_part))
+    distinct = top_per_group(rated, [*place, *shape], [F.col("game_title_id")], k, "_same")
+    best = top_per_group(distinct, place, [F.desc("_part"), F.col("game_title_id")], k, "_nth")
+    least = best.groupBy(*place).agg(F.min("_part").alias("_least"))
+    by_part = distinct.join(least, place).filter(F.col("_part") >= F.col("_least") - F.lit(MARGIN))
+    by_rounds = top_per_group(rated, place, [F.desc("rounds_30d"), F.col("game_title_id")], k, "_nth")
+    return by_part.select(*market.columns).unionByName(by_rounds.select(*market.columns)).distinct()
+
+
 def assemble(
     requests: DataFrame,
     market: DataFrame,
@@ -223,13 +261,15 @@ def assemble(
     carry: tuple[str, ...] = ("top_n",),
     catalog: DataFrame | None = None,
     max_broadcast_rows: int = BROADCAST_ROWS,
+    shown: DataFrame | None = None,
 ) -> DataFrame:
     """All candidates of all requests with ranker features and ``excl_reason`` (NULL = keep).
 
     ``requests`` come from ``attach_player``, ``market`` from ``market_items``; stage the latter
     first, it is read several times. ``norm_scope`` chooses the popularity normaliser: the top of
     the whole ``catalog`` (its item profile; at least 1), the top of what the market shows, or
-    the top of what this request keeps.
+    the top of what this request keeps. ``shown`` limits the expansion to some of the market's items
+    (see ``heads``); normalisers still refer to all of them.
     """
     if norm_scope not in NORM_SCOPES:
         raise ValueError(f"norm_scope must be one of {NORM_SCOPES}")
@@ -240,15 +280,13 @@ def assemble(
     elif norm_scope == "eligible":
         most = F.array_max(F.transform(open_groups(), lambda g: g["most"]))
     else:
-        if catalog is None:
-            raise ValueError("norm_scope 'catalog' needs the item profile")
-        most = F.greatest(catalog.agg(F.max("rounds_30d")).scalar(), F.lit(1))
+        most = catalog_top(catalog)
     wide = wide.withColumn("_most", most).drop("groups", "market_most")
 
     category = F.col("category_id")
     share = affinity_of(F.col("affinities"), category, columns)
     plays = F.coalesce(F.col("recent")[category], F.lit(0))
-    return expand(wide, market, max_broadcast_rows).select(
+    return expand(wide, market if shown is None else shown, max_broadcast_rows).select(
         "request_id",
         "player_id",
         "region_code",

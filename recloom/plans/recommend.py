@@ -64,8 +64,14 @@ def recommend(
     norm_scope: str = "market",
     catalog: DataFrame | None = None,
     latency: DataFrame | None = None,
+    item_part: str | None = None,
 ) -> Recommendations:
-    """Resolve, assemble, filter by policy, score, cut into rails and trace."""
+    """Resolve, assemble, filter by policy, score, cut into rails and trace.
+
+    ``scored`` and the inference log always cover every candidate. The rails do too, unless the
+    scorer is additive and its ``item_part`` is given: then only the items that can reach a rail
+    (``candidates.heads``, once per market) are expanded for them, with the same result.
+    """
     resolved = candidates.resolve_requests(
         requests, context.players, context.regions, context.region_pattern, context.default_region
     )
@@ -85,7 +91,18 @@ def recommend(
     )
     scored = scorer(candidates.kept(assembled))
     decided = traces.decisions(ready, context.market)
-    railed = rails.rails(scored, rails.longest_rail(requests))
+    longest = rails.longest_rail(requests)
+    ranked = scored
+    if item_part is not None and longest > 0:
+        if norm_scope == "eligible":
+            raise ValueError("with norm_scope 'eligible' the order of items depends on the request")
+        most = candidates.catalog_top(catalog) if norm_scope == "catalog" else None
+        reachable = candidates.heads(context.market, item_part, max(longest, rails.MAX_PER_CATEGORY), most)
+        few = candidates.assemble(
+            ready, context.market, norm_scope, columns, carry=carry, catalog=catalog, shown=stage(reachable, "heads")
+        )
+        ranked = scorer(candidates.kept(few))
+    railed = rails.rails(ranked, longest)
     return Recommendations(
         requests=ready,
         candidates=assembled,

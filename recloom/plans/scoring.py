@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,3 +51,13 @@ def expression_scorer(expression: str) -> Scorer:
         return fill_features(df).withColumn("score", F.expr(expression))
 
     return score
+
+
+def item_part(model: PipelineModel) -> str | None:
+    """What a logistic ranker adds per item, as SQL over the item features; None for other models."""
+    learner = model.stages[-1]
+    if not isinstance(learner, LogisticRegressionModel):
+        return None
+    weights = dict(zip(FEATURE_COLS, learner.coefficients, strict=True))
+    per_item = ("game_rounds_30d_norm", "popularity_trend", "rtp_frac")
+    return " + ".join(f"{name} * {float(weights[name])!r}D" for name in per_item)

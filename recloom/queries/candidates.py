@@ -17,6 +17,7 @@ from recloom.sources.star import AFFINITY, DEFAULT_REGION, EVENTS_AS_OF, REGION_
 LINEAR = (
     "aff_for_category * 0.5D + game_rounds_30d_norm * 0.3D + rtp_frac * 0.1D + recent_cat_activity_norm * 0.1D"
 )
+ITEM_PART = "game_rounds_30d_norm * 0.3D + rtp_frac * 0.1D"
 LINEAR_SQL = "aff_for_category * 0.5::DOUBLE + coalesce(game_rounds_30d_norm, 0) * 0.3::DOUBLE + rtp_frac * 0.1::DOUBLE + recent_cat_activity_norm * 0.1::DOUBLE"
 
 HOURS = 48
@@ -56,10 +57,11 @@ def context(star: Star) -> recommend.Context:
     )
 
 
-def run(star: Star, norm_scope: str = "market") -> recommend.Recommendations:
+def run(star: Star, norm_scope: str = "market", item_part: str | None = ITEM_PART) -> recommend.Recommendations:
+    """One run over all requests; the rails expand only the items that can reach them, unless told otherwise."""
     return recommend.recommend(
         last_played(star), context(star), expression_scorer(LINEAR), ROUNDS_AS_OF, "linear-check", recent_rows(star),
-        norm_scope, profile(star) if norm_scope == "catalog" else None,
+        norm_scope, profile(star) if norm_scope == "catalog" else None, item_part=item_part,
     )
 
 
@@ -160,7 +162,7 @@ def rc2(star: Star) -> DataFrame:
     + SUMMARY_SQL.format(norm="n", source="kept"),
 )
 def rc2_eligible(star: Star) -> DataFrame:
-    return summary(run(star, "eligible").candidates.filter("excl_reason IS NULL"))
+    return summary(run(star, "eligible", None).candidates.filter("excl_reason IS NULL"))
 
 
 @query(
@@ -189,14 +191,21 @@ def rc3(star: Star) -> DataFrame:
     )
 
 
-@query(
-    "rc4_diversified_rails",
-    CANDIDATES + "SELECT request_id, rail, rank, game_title_id, score, trend_score FROM railed",
-)
+RAILS_SQL = CANDIDATES + "SELECT request_id, rail, rank, game_title_id, score, trend_score FROM railed"
+
+
+@query("rc4_diversified_rails", RAILS_SQL)
 def rc4(star: Star) -> DataFrame:
     return run(star).rails.select("request_id", "rail", "rank", "game_title_id", "score", "trend_score")
 
 
+@query("rc4_rails_all_candidates", RAILS_SQL)
+def rc4_all(star: Star) -> DataFrame:
+    """The same rails cut from every scored candidate, as a scorer that is not additive needs it."""
+    done = run(star, item_part=None)
+    return done.rails.select("request_id", "rail", "rank", "game_title_id", "score", "trend_score")
+
+
 DECISIONS_SQL = CANDIDATES + """, decided AS (
   SELECT request_id, count(*) FILTER (excl_reason IS NULL) AS candidate_set_size,
          count(*) FILTER (excl_reason IS NOT NULL) AS excluded_count,
