@@ -9,7 +9,7 @@ from recloom.functions.scalars import before
 from recloom.plans import candidates, features, rails, recent, recommend, traces
 from recloom.plans.scoring import expression_scorer
 from recloom.queries.features import profile, rollup
-from recloom.queries.registry import query
+from recloom.queries.registry import query, shareable
 from recloom.sources.staging import stage
 from recloom.sources.star import AFFINITY, DEFAULT_REGION, EVENTS_AS_OF, REGION_PATTERN, ROUNDS_AS_OF, Star
 
@@ -46,6 +46,7 @@ def last_played(star: Star) -> DataFrame:
     return star.requests.join(last, "player_id", "left").withColumn("because_you_played", asked)
 
 
+@shareable
 def context(star: Star) -> recommend.Context:
     """The feature tables of one refresh: the rounds are rolled up once and read three times."""
     rolled = stage(rollup(star), "rollup")
@@ -57,14 +58,19 @@ def context(star: Star) -> recommend.Context:
     )
 
 
-def run(star: Star, norm_scope: str = "market", item_part: str | None = ITEM_PART) -> recommend.Recommendations:
-    """One run over all requests; the rails expand only the items that can reach them, unless told otherwise."""
+@shareable
+def _run(star: Star, norm_scope: str, item_part: str | None) -> recommend.Recommendations:
     return recommend.recommend(
         last_played(star), context(star), expression_scorer(LINEAR), ROUNDS_AS_OF, "linear-check", recent_rows(star),
         norm_scope, profile(star) if norm_scope == "catalog" else None, item_part=item_part,
     )
 
 
+def run(star: Star, norm_scope: str = "market", item_part: str | None = ITEM_PART) -> recommend.Recommendations:
+    """One run over all requests; the rails expand only the items that can reach them, unless told otherwise."""
+    return _run(star, norm_scope, item_part)
+
+
 CANDIDATES = f"""
 WITH recent AS (
   SELECT player_id, category_id, count(*) AS plays FROM plays

@@ -10,7 +10,7 @@ from recloom.operators import ranking
 from recloom.plans import features, recommend, scoring, training
 from recloom.queries.candidates import CANDIDATES, context, last_played, recent_rows
 from recloom.queries.features import rollup
-from recloom.queries.registry import query
+from recloom.queries.registry import query, shareable
 from recloom.schemas import FEATURE_COLS
 from recloom.session import scratch_path
 from recloom.sources.staging import stage
@@ -79,6 +79,7 @@ def tr1(star: Star) -> DataFrame:
     )
 
 
+@shareable
 def pairs(star: Star) -> tuple[DataFrame, DataFrame]:
     known = stage(played(star), "interactions")
     pos = training.positives(known, hasher=hashing.portable)
@@ -103,6 +104,7 @@ def so4(star: Star) -> DataFrame:
     return training.spine(*pairs(star)).groupBy("label", "category_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@shareable
 def dataset(star: Star) -> DataFrame:
     """The feature tables come from one staged roll-up; the interactions feed both classes."""
     rolled = stage(rollup(star), "rollup")
@@ -173,6 +175,7 @@ def tr7(star: Star) -> DataFrame:
     return split(star).select("player_id", "positive_id", "label", "is_test")
 
 
+@shareable
 def trained(star: Star):
     """The default ranker on the training part, and the held-out part."""
     rows = stage(split(star), "split")

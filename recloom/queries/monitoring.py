@@ -9,7 +9,7 @@ from recloom.functions import hashing
 from recloom.plans import monitor
 from recloom.plans.scoring import expression_scorer
 from recloom.queries.candidates import LINEAR, LINEAR_SQL, context
-from recloom.queries.registry import query
+from recloom.queries.registry import query, shareable
 from recloom.sources.star import ROUNDS_AS_OF, Star
 
 DAYS, PER_REGION = 7, 2
@@ -21,6 +21,7 @@ def backfill_requests(star: Star) -> DataFrame:
     )
 
 
+@shareable
 def backfilled(star: Star) -> DataFrame:
     requests = backfill_requests(star)
     recent = monitor.recent_before(requests, star.rounds, star.items, star.categories)
@@ -144,7 +145,7 @@ def order_log(star: Star) -> DataFrame:
              CAST(sum(CAST(value AS DECIMAL(19,4)) * CAST(value AS DECIMAL(19,4))) AS DOUBLE) AS squares
       FROM long GROUP BY ALL
     ) SELECT period, region_code, metric, n, nulls, low, high, total / n AS mean,
-             round(sqrt(greatest((squares - total * (total / n)) / (n - 1), 0)), 6) AS deviation FROM sums""",
+             CASE WHEN n > 1 THEN round(sqrt(greatest((squares - total * (total / n)) / (n - 1), 0)), 6) END AS deviation FROM sums""",
 )
 def mon4(star: Star) -> DataFrame:
     return monitor.statistics(order_log(star), METRICS, unit="month").withColumn(

@@ -331,7 +331,7 @@ def sf6(star: Star) -> DataFrame:
     return star.rounds.select("player_id", "round_date").distinct().withColumn("session_id", session)
 
 
-WORDS = ["SEO", "PAID_SOCIAL", "AFFILIATE", "DIRECT", "REFERRAL"]
+WORDS = ["WEB", "APP", "STORE", "MAIL", "PARTNER"]
 
 
 @query(

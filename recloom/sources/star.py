@@ -95,7 +95,7 @@ class Star:
             (F.col("p_partkey") % 4 != 0).alias("is_global_yn"),
             F.when(F.col("p_partkey") % 8 != 0, market).alias("home_region_code"),
             F.concat(F.lit("tiles/"), F.col("p_partkey").cast("string"), F.lit(".svg")).alias("tile_image_url"),
-            F.when(F.col("p_size") % 2 == 0, F.lit("#7A3FF2")).otherwise(F.lit("#3BB54A")).alias("tile_color_hex"),
+            F.when(F.col("p_size") % 2 == 0, F.lit("#336699")).otherwise(F.lit("#993366")).alias("tile_color_hex"),
         )
 
     @cached_property

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare, connect
+from recloom.queries import registry
 from tests.conftest import SF_DIR
 
 NAMES = sorted(entry.queries())
@@ -11,7 +12,9 @@ NAMES = sorted(entry.queries())
 
 @pytest.fixture(scope="module")
 def duck():
-    return connect(SF_DIR)
+    registry.SHARED = {}
+    yield connect(SF_DIR)
+    registry.SHARED = None
 
 
 @pytest.mark.parametrize("name", NAMES)
