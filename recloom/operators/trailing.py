@@ -21,11 +21,17 @@ def _hours_back(ts: Column, hours: int) -> Column:
     return ts - F.make_dt_interval(hours=F.lit(hours)) if hours else ts
 
 
+def _known(keys: Sequence[str], ts: str) -> Column:
+    known = F.col(ts).isNotNull()
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    return known
+
+
 def trailing(
     spine: DataFrame,
     events: DataFrame,
     keys: Sequence[str],
-    row_id: str,
     ref_ts: str,
     event_ts: str,
     windows: Mapping[str, int],
@@ -35,24 +41,21 @@ def trailing(
 
     ``windows`` maps a suffix to hours, so ``{"24h": 24}`` and ``{"plays": F.lit(1)}`` add
     ``plays_24h``. The window is half-open: an event at ``ref`` itself never counts, one at
-    exactly ``ref - window`` does. ``row_id`` must be unique in the spine; spine rows without
-    events get 0.
+    exactly ``ref - window`` does. Spine rows without events, or without a key, get 0.
 
     A window sum is the difference of two running sums, one up to ``ref`` and one up to
-    ``ref - window``, so each spine row becomes one probe per boundary.
+    ``ref - window``. It depends on the keys and ``ref`` only, so spine rows that share them are
+    answered by one probe per boundary.
     """
     names = list(measures)
     hours = sorted({0, *windows.values()})
     boundaries = F.array(
-        *[F.struct(F.lit(h).alias("_back"), _hours_back(F.col(ref_ts), h).alias("_at")) for h in hours]
+        *[F.struct(F.lit(h).alias("_back"), _hours_back(F.col("_ref"), h).alias("_at")) for h in hours]
     )
-    known_key = F.lit(True)
-    for key in keys:
-        known_key = known_key & F.col(key).isNotNull()
 
     # Events at the same instant collapse before anything else is shuffled.
     instants = (
-        events.filter(known_key & F.col(event_ts).isNotNull())
+        events.filter(_known(keys, event_ts))
         .select(*keys, F.col(event_ts).alias("_at"), *[col.alias(n) for n, col in measures.items()])
         .groupBy(*keys, "_at")
         .agg(*[F.sum(n).alias(n) for n in names])
@@ -60,24 +63,20 @@ def trailing(
     )
     types = dict(instants.dtypes)
     zero = {n: F.lit(0).cast(types[n]) for n in names}
+    asked = spine.filter(_known(keys, ref_ts)).select(*keys, F.col(ref_ts).alias("_ref")).distinct()
     probes = (
-        spine.filter(known_key & F.col(ref_ts).isNotNull())
-        .select(*keys, F.col(row_id).alias("_row"), F.explode(boundaries).alias("_edge"))
-        .select(*keys, "_row", "_edge._back", "_edge._at", *[zero[n].alias(n) for n in names])
+        asked.select(*keys, "_ref", F.explode(boundaries).alias("_edge"))
+        .select(*keys, "_ref", "_edge._back", "_edge._at", *[zero[n].alias(n) for n in names])
         .withColumn("_hour", hour_number(F.col("_at")))
     )
     line = probes.unionByName(
-        instants.withColumn("_row", F.lit(None).cast(dict(probes.dtypes)["_row"])).withColumn(
-            "_back", F.lit(None).cast("int")
-        )
+        instants.withColumns({"_ref": F.lit(None).cast(types["_at"]), "_back": F.lit(None).cast("int")})
     ).withColumn("_event", F.col("_back").isNull().cast("int"))
 
     # Probes sort ahead of events of the same instant, hence "strictly before".
-    inside = (
-        Window.partitionBy(*keys, "_hour").orderBy("_at", "_event").rowsBetween(Window.unboundedPreceding, 0)
-    )
+    inside = Window.partitionBy(*keys, "_hour").orderBy("_at", "_event").rowsBetween(Window.unboundedPreceding, 0)
     in_hour = line.select(
-        *keys, "_hour", "_row", "_back", *[F.sum(n).over(inside).alias(n) for n in names]
+        *keys, "_hour", "_ref", "_back", *[F.sum(n).over(inside).alias(n) for n in names]
     ).filter(F.col("_back").isNotNull())
 
     hourly = line.groupBy(*keys, "_hour").agg(*[F.sum(n).alias(n) for n in names])
@@ -93,15 +92,10 @@ def trailing(
             total = F.col(n) + F.col(f"_c_{n}")
             signed = F.when(F.col("_back") == 0, total).when(F.col("_back") == back, -total)
             parts.append(F.sum(signed).alias(f"{n}_{suffix}"))
-    sums = upto.groupBy("_row").agg(*parts)
-    added = [f"{n}_{suffix}" for suffix in windows for n in names]
-    sum_types = dict(sums.dtypes)
-    return (
-        spine.join(sums, spine[row_id] == sums["_row"], "left")
-        .select(
-            *[spine[c] for c in spine.columns],
-            *[F.coalesce(sums[a], F.lit(0).cast(sum_types[a])).alias(a) for a in added],
-        )
+    sums = upto.groupBy(*keys, F.col("_ref").alias(ref_ts)).agg(*parts)
+    added = {a: t for a, t in sums.dtypes if a not in (*keys, ref_ts)}
+    return spine.join(sums, [*keys, ref_ts], "left").select(
+        *spine.columns, *[F.coalesce(a, F.lit(0).cast(t)).alias(a) for a, t in added.items()]
     )
 
 
@@ -117,40 +111,35 @@ def as_of(
     """Join to each spine row the newest view row of its key with ``view_ts <= spine_ts``.
 
     Keeps every spine row; features are NULL before the first view row. Of view rows with
-    equal time the one with the largest feature values wins.
+    equal time the one with the largest feature values wins. Spine rows that share key and time
+    are answered once.
     """
     payload = F.struct(F.col("_at"), *[F.col(f) for f in features])
-    known_key = F.lit(True)
-    for key in keys:
-        known_key = known_key & F.col(key).isNotNull()
     newest = (
-        view.filter(known_key & F.col(view_ts).isNotNull())
+        view.filter(_known(keys, view_ts))
         .select(*keys, F.col(view_ts).alias("_at"), *features)
         .groupBy(*keys, "_at")
         .agg(F.max(payload).alias("_value"))
     )
-    probes = spine.select(*keys, F.col(spine_ts).alias("_at"), F.struct(*spine.columns).alias("_row"))
+    probes = spine.filter(_known(keys, spine_ts)).select(*keys, F.col(spine_ts).alias("_at")).distinct()
     line = (
         probes.withColumn("_value", F.lit(None).cast(newest.schema["_value"].dataType))
-        .unionByName(newest.withColumn("_row", F.lit(None).cast(probes.schema["_row"].dataType)))
+        .withColumn("_probe", F.lit(1))
+        .unionByName(newest.withColumn("_probe", F.lit(0)))
         .withColumn("_hour", hour_number(F.col("_at")))
-        .withColumn("_probe", F.col("_row").isNotNull().cast("int"))
     )
     # Values sort ahead of probes of the same instant, hence "at or before".
     inside = Window.partitionBy(*keys, "_hour").orderBy("_at", "_probe").rowsBetween(Window.unboundedPreceding, 0)
     in_hour = line.withColumn("_here", F.last("_value", ignorenulls=True).over(inside)).filter("_probe = 1")
     hourly = line.groupBy(*keys, "_hour").agg(F.max("_value").alias("_value"))
     earlier = Window.partitionBy(*keys).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    carried = hourly.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_hour").alias("_k__hour"),
-        F.last("_value", ignorenulls=True).over(earlier).alias("_before"),
+    carried = hourly.select(*keys, "_hour", F.last("_value", ignorenulls=True).over(earlier).alias("_before"))
+    found = in_hour.join(carried, [*keys, "_hour"]).select(
+        *keys, F.col("_at").alias(spine_ts), F.coalesce("_here", "_before").alias("_found")
+    )
+    return spine.join(found, [*keys, spine_ts], "left").select(
+        *spine.columns, *[F.col(f"_found.{f}").alias(f"{prefix}{f}") for f in features]
     )
-    match = F.lit(True)
-    for k in [*keys, "_hour"]:
-        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    found = in_hour.join(carried, match, "left").select("_row", F.coalesce("_here", "_before").alias("_found"))
-    return found.select("_row.*", *[F.col(f"_found.{f}").alias(f"{prefix}{f}") for f in features])
 
 
 def latest(view: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:

@@ -64,11 +64,11 @@ def recent_before(
     ids = F.sort_array(F.collect_set("category_id"))
     spine = requests.select(
         "request_id", "player_id", "ref_ts", F.explode(categories.agg(ids).scalar()).alias("category_id")
-    ).withColumn("row_id", F.concat_ws("/", "request_id", "category_id"))
+    )
     events = rounds.join(items.select("game_title_id", "category_id"), "game_title_id")
     return (
         trailing(
-            spine, events, ["player_id", "category_id"], "row_id", "ref_ts", "round_start_timestamp",
+            spine, events, ["player_id", "category_id"], "ref_ts", "round_start_timestamp",
             {"recent": hours}, {"plays": F.lit(1)},
         )
         .filter("plays_recent > 0")

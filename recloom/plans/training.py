@@ -99,7 +99,7 @@ def recency_as_of(
     The window is ``[ref_ts - hours, ref_ts)``: the label event itself never counts.
     """
     counted = trailing(
-        rows, events, ["player_id", "category_id"], "row_id", "ref_ts", event_ts, {"recent": hours}, {"plays": F.lit(1)}
+        rows, events, ["player_id", "category_id"], "ref_ts", event_ts, {"recent": hours}, {"plays": F.lit(1)}
     )
     return counted.withColumn("recent_cat_activity_norm", recency_norm(F.col("plays_recent"), cap)).drop("plays_recent")
 

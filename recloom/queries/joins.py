@@ -166,7 +166,6 @@ def jn9(star: Star) -> DataFrame:
         plays(star).select("event_id", "player_id", "category_id", "event_ts"),
         plays(star),
         ["player_id", "category_id"],
-        "event_id",
         "event_ts",
         "event_ts",
         {"24h": 24},
@@ -216,7 +215,6 @@ def wn9(star: Star) -> DataFrame:
         star.events.select("event_id", "player_id", "event_ts"),
         star.events,
         ["player_id"],
-        "event_id",
         "event_ts",
         "event_ts",
         {"24h": 24},
@@ -240,9 +238,8 @@ def wn9(star: Star) -> DataFrame:
 def wn10(star: Star) -> DataFrame:
     """Rolling plays and stake before every active minute of a player, at one-minute granularity."""
     tiles = recent.minute_tiles(plays(star), ["player_id"])
-    spine = tiles.select("player_id", "minute", F.concat_ws("@", "player_id", "minute").alias("row_id"))
     rolled = trailing.trailing(
-        spine, tiles, ["player_id"], "row_id", "minute", "minute", recent.WINDOWS,
+        tiles.select("player_id", "minute"), tiles, ["player_id"], "minute", "minute", recent.WINDOWS,
         {"plays": F.col("plays"), "stake": F.col("stake")},
     )
     return rolled.select(

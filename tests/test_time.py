@@ -36,7 +36,7 @@ def brute(rows, events, hours):
 
 def counted(spark, rows, events, windows):
     return trailing.trailing(
-        frame(spark, rows), frame(spark, events), ["player_id", "category_id"], "id", "ts", "ts", windows, {"n": F.lit(1)}
+        frame(spark, rows), frame(spark, events), ["player_id", "category_id"], "ts", "ts", windows, {"n": F.lit(1)}
     )
 
 
