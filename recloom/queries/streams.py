@@ -78,10 +78,12 @@ def st3(star: Star) -> DataFrame:
        FROM plays WHERE event_type = 'PLAY' AND event_ts >= TIMESTAMP '2024-01-29 00:00:00' GROUP BY ALL""",
 )
 def st4(star: Star) -> DataFrame:
-    """Two days of history, then live tiles from the cut-over on."""
+    """Two days of history, stored as closed tiles, then live tiles from the cut-over on."""
+    cutover, path = instant("2024-01-30 00:00:00"), scratch_path(star.spark, "closed")
     two_days = star.events.filter(F.col("event_ts") >= before(EVENTS_AS_OF, days=2))
-    history = recent.minute_tiles(recent.only_plays(two_days), tiles.PLAYER)
-    warmed = tiles.warm(history, live_tiles(star, tiles.PLAYER), instant("2024-01-30 00:00:00"))
+    tiles.compact(recent.minute_tiles(recent.only_plays(two_days), tiles.PLAYER), path, cutover)
+    history = star.spark.read.parquet(path).drop("day")
+    warmed = tiles.warm(history, live_tiles(star, tiles.PLAYER), cutover)
     return warmed.withColumn("stake", F.col("stake").cast("double"))
 
 

@@ -2,6 +2,7 @@
 
 from datetime import datetime
 from decimal import Decimal
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from recloom.functions import scalars
 from recloom.operators import checks, joins, policy
 from recloom.plans import eligibility, features
+from recloom.session import shared_dir
 from recloom.sources import tables, versions
 
 AS_OF = "2024-07-01 12:00:00"
@@ -171,6 +173,19 @@ def test_policy_edits_and_versions(spark, tmp_path):
     assert changes == {1: "REMOVED", 2: "ADDED"}
 
 
+def test_shared_folder_is_never_local_on_a_cluster(spark):
+    def session(master, named=None, checkpoint=None):
+        context = SimpleNamespace(master=master, applicationId=f"{master}-app", getCheckpointDir=lambda: checkpoint)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: named), sparkContext=context)
+
+    assert shared_dir(session("spark://x", named="s3://shared/tmp")) == "s3://shared/tmp"
+    assert shared_dir(session("spark://x", checkpoint="hdfs://shared")) == "hdfs://shared"
+    assert shared_dir(session("local[2]")) == shared_dir(session("local[2]"))
+    with pytest.raises(RuntimeError, match="shared by the cluster"):
+        shared_dir(session("yarn"))
+    assert spark.sparkContext.getCheckpointDir() is None or shared_dir(spark)
+
+
 def test_duplicate_keys(spark):
     df = spark.createDataFrame([(1,), (1,), (2,)], "k INT")
     assert [(r.k, r.rows) for r in checks.duplicate_keys(df, ["k"]).collect()] == [(1, 2)]
