@@ -14,10 +14,13 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+# For words of letters, digits and anything beyond ASCII.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[48:58] = PUNCTUATION[65:91] = PUNCTUATION[97:123] = PUNCTUATION[128:] = False
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -68,19 +71,29 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: pa.Array, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end (bytes), text number and 64-bit hash of every word of ``texts``."""
+    starts, ends, doc, total = bounds(texts, space)
+    return starts, ends, doc, span_hash(total, starts, ends)
+
+
+def bounds(texts: pa.Array, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of every word, and the running sums that ``span_hash`` needs."""
     raw, at = flat(texts)
-    raw = _LOWER[raw]
-    inside = ~_SPACE[raw]
+    raw = LOWER[raw]
+    inside = ~space[raw]
     first = np.zeros(len(raw) + 1, bool)
     first[at] = True  # also where the bytes end
     starts = np.flatnonzero(inside & (first[:-1] | np.concatenate(([True], ~inside[:-1]))))
     ends = np.flatnonzero(inside & (first[1:] | np.concatenate((~inside[1:], [True])))) + 1
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw))[: len(raw)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * _powers(_INVERSE, len(raw))[starts])
-    return starts, ends, np.searchsorted(at, starts, "right") - 1, hashes
+    return starts, ends, np.searchsorted(at, starts, "right") - 1, total
+
+
+def span_hash(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans, wherever they lie."""
+    return mix((total[ends] - total[starts]) * _powers(_INVERSE, len(total))[starts])
 
 
 def shingles(texts: pa.Array, size: int) -> list[np.ndarray]:
