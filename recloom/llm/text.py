@@ -18,6 +18,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+EXACT = np.arange(256, dtype=np.uint8)
+NEWLINE = np.zeros(256, bool)
+NEWLINE[10] = True
 # For words of letters, digits and anything beyond ASCII.
 PUNCTUATION = np.ones(256, bool)
 PUNCTUATION[48:58] = PUNCTUATION[65:91] = PUNCTUATION[97:123] = PUNCTUATION[128:] = False
@@ -71,16 +74,20 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def words(texts: pa.Array, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(
+    texts: pa.Array, space: np.ndarray = SPACE, fold: np.ndarray = LOWER
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end (bytes), text number and 64-bit hash of every word of ``texts``."""
-    starts, ends, doc, total = bounds(texts, space)
+    starts, ends, doc, total = bounds(texts, space, fold)
     return starts, ends, doc, span_hash(total, starts, ends)
 
 
-def bounds(texts: pa.Array, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def bounds(
+    texts: pa.Array, space: np.ndarray = SPACE, fold: np.ndarray = LOWER
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of every word, and the running sums that ``span_hash`` needs."""
     raw, at = flat(texts)
-    raw = LOWER[raw]
+    raw = fold[raw]
     inside = ~space[raw]
     first = np.zeros(len(raw) + 1, bool)
     first[at] = True  # also where the bytes end

@@ -1,0 +1 @@
+"""The session of the other tests."""
