@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recloom.llm import line_chunks, minhash_join, packing, toxicity
+from recloom.llm import line_chunks, minhash_join, packing, secrets, toxicity
 from recloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_mixture_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op4_linked_secrets")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
