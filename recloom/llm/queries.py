@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recloom.llm import line_chunks, minhash_join, packing, secrets, toxicity
+from recloom.llm import line_chunks, minhash_join, packing, quality, secrets, toxicity
 from recloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_linked_secrets")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality_machine")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

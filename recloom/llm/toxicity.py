@@ -52,7 +52,7 @@ class Linear:
         return _sigmoid(summed[edges[1:]] - summed[edges[:-1]] + self.bias)
 
 
-def fit(bucket: np.ndarray, edges: np.ndarray, y: np.ndarray, rounds: int = 6, rate: float = 0.2) -> Linear:
+def fit(bucket: np.ndarray, edges: np.ndarray, y: np.ndarray, steps: int = 1200, rate: float = 0.2) -> Linear:
     """AdaGrad over shuffled minibatches of features scaled by their log-odds; rare features stay out.
 
     Without rows of both labels the model says 0.5 everywhere.
@@ -67,8 +67,9 @@ def fit(bucket: np.ndarray, edges: np.ndarray, y: np.ndarray, rounds: int = 6, r
     model = Linear(np.zeros(BUCKETS), float(np.log(prior / (1 - prior))))
     squares, bias_square = np.full(BUCKETS, 1e-2), 1e-2
     random = np.random.default_rng(0)
-    for _ in range(rounds):
-        for rows in np.array_split(random.permutation(len(y)), max(1, len(y) // 64)):
+    batches = max(1, len(y) // 64)
+    for _ in range(-(-steps // batches)):
+        for rows in np.array_split(random.permutation(len(y)), batches):
             sizes = edges[rows + 1] - edges[rows]
             own = np.concatenate([bucket[edges[i] : edges[i + 1]] for i in rows])
             cut = np.concatenate(([0], np.cumsum(sizes)))
