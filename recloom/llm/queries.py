@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recloom.llm import line_chunks, minhash_join, packing, quality, secrets, toxicity
+from recloom.llm import line_chunks, minhash_join, packing, pii, quality, secrets, toxicity
 from recloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_machine")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_contextual_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal(table(spark, sf_dir, "documents"))

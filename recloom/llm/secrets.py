@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recloom.llm.spans import Kind, find, redact, told
+from recloom.llm.spans import Kind, covered, find, redact, told
 from recloom.sources.staging import stage
 
 _NAMES = "(password|passwd|secret|token|api_?key)"
@@ -74,11 +74,7 @@ def linked(parts: DataFrame) -> DataFrame:
     two must be a secret.
     """
     known = parts.filter("kind is not null")
-    by_start = Window.partitionBy("row").orderBy("start", "stop")
-    before = F.max(F.when(F.col("strong"), F.col("stop"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(F.col("strong"), F.col("start"))).over(by_start.rowsBetween(1, Window.unboundedFollowing))
-    covered = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("stop"), F.lit(False))
-    known = known.withColumn("covered", covered).filter("strong or not covered")
+    known = known.withColumn("covered", covered(F.col("strong"))).filter("strong or not covered")
     block = lambda c, by: F.floor((F.col(c) + by) / SCOPE)
     weak = known.filter("not strong").withColumn(
         "block", F.explode(F.sequence(block("start", -SCOPE), block("stop", SCOPE)))

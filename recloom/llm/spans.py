@@ -63,6 +63,14 @@ def find(docs: DataFrame, kinds: list[Kind], id_col: str = "doc_id", text_col: s
     return rows.select("row", "doc_id", "key", "kind", start, stop.alias("stop"), "match", "left", "right")
 
 
+def covered(sure: Column) -> Column:
+    """Whether a span of its row for which ``sure`` holds overlaps the (other) span."""
+    order = Window.partitionBy("row").orderBy("start", "stop")
+    before = F.max(F.when(sure, F.col("stop"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(F.when(sure, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    return F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("stop"), F.lit(False))
+
+
 def told(place: list[str], when: Column | None = None) -> Column:
     """The grouped spans as ``kind:start:end``, by start and then in the order of ``place``, comma-joined."""
     order = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(place) for x in (k, i)]), F.col("kind"))
