@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recloom.llm import line_chunks, minhash_join, packing, pii, quality, secrets, toxicity
+from recloom.llm import line_chunks, metric_join, minhash_join, packing, permutation_index, pii, quality, secrets, toxicity
 from recloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_contextual_pii")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal(table(spark, sf_dir, "documents"))
+
+
+@query("op7_permutation_neighbours")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_metric_near_duplicates")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_equal(table(spark, sf_dir, "embeddings"))
