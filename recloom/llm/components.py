@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recloom.sources.staging import stage
+from recloom.llm.staging import stage_rows
 
 
 def _towards(edges: DataFrame) -> DataFrame:
@@ -21,20 +21,21 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int) -> DataFrame:
     """``links`` (a, b) as (node, component): the smallest node reachable. Nodes without links are absent.
 
-    Nulls and self-links are ignored; repeated links count once; no links give no rows.
+    ``rows`` is a bound on the links, or a guess; it only sets the number of files of the first round. Nulls and self-links are ignored; repeated links count once; no links give no rows.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges = stage(edges.filter("u <> v").distinct(), "links")
+    edges = stage_rows(edges.filter("u <> v").distinct(), "links", rows)
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _towards(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = _towards(large.filter("u <> v").distinct())
-        small = down.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stage(small.select("e.u", "e.v").filter("u <> v").distinct(), "stars")
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = down.select(F.explode(ends).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
+        edges = stage_rows(small, "stars", before[0])
         after = _state(edges)
         if after == before:
             break

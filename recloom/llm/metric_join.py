@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from recloom.llm.components import components
 from recloom.llm.vectors import matrix, unit, usable
-from recloom.sources.staging import stage
+from recloom.llm.staging import stage_rows
 
 COSINE = 0.98
 CELL, MAX_PIVOTS = 2_000, 256  # vectors for each pivot, pivots of a label
@@ -108,9 +108,11 @@ def near_equal(
     sound = usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     kind = F.struct("label", F.size("embedding").alias("width"))
     keyed = named.withColumn("kind", F.when(sound, F.to_json(kind)))
-    members = stage(keyed, "vectors")
+    n = vectors.count()
+    members = stage_rows(keyed, "vectors", n, 20_000)
     grouped = members.filter("kind is not null").groupBy("kind", "embedding")
-    classes = stage(grouped.agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = grouped.agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    classes = stage_rows(classes, "classes", n, 20_000)
 
     sizes = classes.groupBy("kind").agg(F.count("*").alias("size"))
     by_hash = Window.partitionBy("kind").orderBy(F.xxhash64("rep"), "rep")
@@ -120,12 +122,13 @@ def near_equal(
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     spread = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n)
     left = classes.join(sizes, "kind").withColumn("part", spread(part, 1)).drop("size")
-    right = stage(pivots.withColumn("part", upto(part)).select("kind", "part", "pivot", "embedding"), "pivots")
+    right = pivots.withColumn("part", upto(part)).select("kind", "part", "pivot", "embedding")
+    right = stage_rows(right, "pivots", -(-n // CELL), 20_000)
     radius = float(np.sqrt(2 - 2 * cosine))
     cells = left.groupBy("kind", "part").cogroup(right.groupBy("kind", "part")).applyInArrow(
         _assign(radius), "kind string, cell int, home boolean, rep long, copies long, embedding array<double>"
     )
-    cells = stage(cells, "cells")
+    cells = stage_rows(cells, "cells", 2 * n, 20_000)
 
     # both sides of a cell in blocks
     filled = cells.groupBy("kind", "cell").agg(
@@ -138,12 +141,12 @@ def near_equal(
     both = probes.withColumn("block", upto(F.col("blocks"))).select(*columns).unionByName(
         others.withColumn("chunk", upto(F.col("probes"))).select(*columns)
     )
-    found = stage(
-        both.groupBy("kind", "cell", "chunk", "block").applyInArrow(_cell_links(cosine), "a long, b long, links long"),
-        "links",
+    found = both.groupBy("kind", "cell", "chunk", "block").applyInArrow(
+        _cell_links(cosine), "a long, b long, links long"
     )
+    found = stage_rows(found, "links", 2 * n)
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    tied = components(found.filter("a <> b").select("a", "b")).select(F.col("node").alias("rep"), "component")
+    tied = components(found.filter("a <> b").select("a", "b"), n).select(F.col("node").alias("rep"), "component")
     known = classes.join(counts, "rep", "left").join(tied, "rep", "left").select(
         "kind", "embedding", "rep", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
     )

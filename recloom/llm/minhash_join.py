@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from recloom.llm import text as tx
 from recloom.llm.components import components
+from recloom.llm.staging import stage_rows
 from recloom.sources.staging import stage
 
 # At a similarity of 0.75 a signature of 64 agrees in fewer than 32 places once in about 100,000 pairs.
@@ -110,7 +111,7 @@ def evidence(docs: DataFrame, posted: DataFrame, size: int) -> DataFrame:
     sets = named.withColumn("h", F.xxhash64("rep")).mapInArrow(
         run, "rep long, shingles array<long>, signature array<long>"
     )
-    return stage(sets.join(wanted, "rep", "left_semi"), "sets")
+    return stage_rows(sets.join(wanted, "rep", "left_semi"), "sets", wanted.count(), 5_000)
 
 
 def prefixes(reps: DataFrame, matches: int = MATCHES) -> DataFrame:
@@ -134,13 +135,14 @@ class Grouping:
 
     def __init__(self, posted: DataFrame, sets: DataFrame, percent: int, matches: int):
         self.posted, self.sets, self.percent, self.matches = posted, sets, percent, matches
+        self.rows = posted.count()  # bounds all that follows
         self.labels = posted.select("rep").distinct().withColumn("component", F.col("rep"))
 
     def open_lists(self) -> DataFrame:
         """Postings of the lists that still hold several components, with their component."""
         labelled = self.posted.join(self.labels, "rep")
         mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        return stage(labelled.join(mixed.filter("lo <> hi").select("key"), "key", "left_semi"), "lists")
+        return stage_rows(labelled.join(mixed.filter("lo <> hi").select("key"), "key", "left_semi"), "lists", self.rows)
 
     def join_leaders(self) -> None:
         """Compare the members of each list with its commonest signature (ties: smallest id)."""
@@ -149,9 +151,8 @@ class Grouping:
         pairs = pairs.filter("rep <> x.rep").filter(
             F.least("n", "x.n") * 100 >= F.greatest("n", "x.n") * self.percent
         )
-        pairs = stage(
-            pairs.select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b")).distinct(), "pairs"
-        )
+        pairs = pairs.select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b")).distinct()
+        pairs = stage_rows(pairs, "pairs", self.rows)
         close = pairs
         for x in "ab":
             signed = self.sets.select(F.col("rep").alias(x), F.col("signature").alias(f"s{x}"))
@@ -173,8 +174,9 @@ class Grouping:
         lists = self.open_lists()
         first = lists.groupBy("key").agg(F.min("rep").alias("a"))
         tied = lists.join(first, "key").select("a", F.col("rep").alias("b")).distinct()
-        clusters = components(tied).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-        members = stage(lists.select("rep", "n", "component").distinct().join(clusters, "rep"), "members")
+        clusters = components(tied, self.rows).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+        members = lists.select("rep", "n", "component").distinct().join(clusters, "rep")
+        members = stage_rows(members, "members", self.rows)
         sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
         largest = F.max(F.struct("c", (-F.col("component")).alias("main"), "n"))
         shape = sizes.groupBy("cluster").agg(largest.alias("top"), F.sum("n").alias("all")).select(
@@ -202,10 +204,11 @@ class Grouping:
                 named = self.labels.select(F.col("rep").alias(x), F.col("component").alias(f"c{x}"))
                 links = links.join(named, x)
             links = links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        merged = components(links)
+        merged = components(links, self.rows)
         renamed = merged.select(F.col("node").alias("component"), F.col("component").alias("new"))
         labels = self.labels.join(renamed, "component", "left")
-        self.labels = stage(labels.select("rep", F.coalesce("new", "component").alias("component")), "labels")
+        labels = labels.select("rep", F.coalesce("new", "component").alias("component"))
+        self.labels = stage_rows(labels, "labels", self.rows)
 
 
 def _lists(table: pa.Table, name: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,9 +294,10 @@ def near_duplicates(
     signed = stage(signatures(named, size=size), "signatures")
     prints = ["print1", "print2", "n_shingles"]
     grouped = signed.filter("n_shingles > 0 and doc_id is not null").groupBy(*prints)
-    classes = stage(grouped.agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
+    classes = grouped.agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
+    classes = stage_rows(classes, "classes", signed.count(), 20_000)
     reps = classes.select("rep", F.col("n_shingles").alias("n"), "signature")
-    posted = stage(prefixes(reps, matches), "posted")
+    posted = stage_rows(prefixes(reps, matches), "posted", classes.count())
     grouping = Grouping(posted, evidence(named, posted, size), percent, matches)
     grouping.join_leaders()
     grouping.join_rest()
