@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recloom.llm import text as tx
+from recloom.llm.staging import stage_rows
 from recloom.session import scratch_path
 
 SEQUENCE = 2048
@@ -245,10 +246,8 @@ def pack(
 
     parts = coded.groupBy("queue", "part").agg(F.sum("n").alias("tokens"))
     order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = _stage(
-        parts.select("queue", "part", "tokens", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("base")),
-        "queue-offsets",
-    )
+    bases = parts.select("queue", "part", "tokens", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("base"))
+    bases = stage_rows(bases, "queue-offsets", (len(sources) + 1) * len(coded.inputFiles()))
     totals = np.zeros(len(sources) + 1)
     for queue, tokens in bases.groupBy("queue").agg(F.sum("tokens")).collect():  # a row per queue
         totals[queue] = tokens

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recloom.llm.vectors import matrix, usable
-from recloom.sources.staging import stage
+from recloom.llm.staging import stage_rows
 
 SAMPLE = 2_048  # the bounded sample that the index is fitted on
 PIVOTS = 256  # of them, far from each other
@@ -120,10 +120,11 @@ def nearest_neighbours(
     pivots = spread_pivots(np.array([r["embedding"] for r in sample if len(r["embedding"]) == width], float), PIVOTS)
     nearest = min(NEAREST, len(pivots))
 
-    index = stage(permutations(classes.filter(F.size("embedding") == width), pivots, nearest), "permutations")
+    index = permutations(classes.filter(F.size("embedding") == width), pivots, nearest)
+    index = stage_rows(index, "permutations", named.count(), 20_000)
     queries = named.filter((F.col("vec_id") % every == 0) & (F.size("embedding") == width)).distinct()
-    queries = permutations(queries.withColumnRenamed("vec_id", "query_id"), pivots, nearest)
-    queries = stage(queries, "queries")
+    queries = queries.withColumnRenamed("vec_id", "query_id")
+    queries = stage_rows(permutations(queries, pivots, nearest), "queries", queries.count(), 20_000)
     blocks, chunks = -(-index.count() // BLOCK) or 1, -(-queries.count() // QUERIES) or 1
     spread = lambda by, n: F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recloom.llm.spans import Kind, covered, find, told
+from recloom.llm.staging import stage_rows
 from recloom.sources.staging import stage
 
 _BEFORE = r"(?:(?<=(?<!\S)(\S{1,24})\s{1,2}))?"
@@ -96,12 +97,13 @@ def discover(parts: DataFrame) -> DataFrame:
     edges = known.select(
         F.explode(_words()).alias("pattern"), "instance", F.when(F.col("sure"), F.col("kind")).alias("seed"), "fits"
     )
-    edges = stage(edges.groupBy("pattern", "instance").agg(F.min("seed").alias("seed"), F.first("fits").alias("fits")), "graph")
+    edges = edges.groupBy("pattern", "instance").agg(F.min("seed").alias("seed"), F.first("fits").alias("fits"))
+    edges = stage_rows(edges, "graph", 2 * known.count())
     seeds = edges.filter("seed is not null").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
     seeds = seeds.distinct()
     width = edges.groupBy("pattern").agg(F.count("*").alias("width"))
     wanted = edges.filter("seed is null").select("pattern", "instance", F.explode("fits").alias("kind"))
-    found = None
+    found, rows = None, wanted.count()
     for _ in range(ROUNDS):
         scores = seeds if found is None else seeds.unionByName(found)
         mass = edges.select("pattern", "instance").join(scores, "instance")
@@ -110,7 +112,7 @@ def discover(parts: DataFrame) -> DataFrame:
         voted = wanted.join(trust.filter(F.col("trust") >= TRUST), ["pattern", "kind"])
         doubt = F.sum(F.log1p(-F.least("trust", F.lit(0.999))))
         found = voted.groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("score"))
-        found = stage(found.filter(F.col("score") >= ACCEPT), "found")
+        found = stage_rows(found.filter(F.col("score") >= ACCEPT), "found", rows)
     best = F.max(F.struct("score", F.when(F.lit(True), F.col("kind")).alias("kind"))).alias("best")
     return found.groupBy("instance").agg(best).select("instance", F.col("best.kind").alias("as_kind"))
 
