@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recloom.llm import line_chunks, metric_join, minhash_join, packing, permutation_index, pii, quality, secrets, toxicity
+from recloom.llm import line_chunks, metric_join, minhash_join, packing, permutation_index, pieces, pii, quality, secrets, toxicity
 from recloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +130,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_metric_near_duplicates")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_equal(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_shared_prefix_pieces")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text back."""
+    docs = table(spark, sf_dir, "documents")
+    decoded = pieces.decode(pieces.encode(docs)).withColumnRenamed("text", "decoded")
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids"
+    )
