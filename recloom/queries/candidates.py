@@ -9,6 +9,7 @@ from recloom.functions.scalars import before
 from recloom.plans import candidates, features, rails, recent, recommend, traces
 from recloom.plans.scoring import expression_scorer
 from recloom.queries.features import profile, rollup
+from recloom.queries.prelude import candidate_rows, normed_rows
 from recloom.queries.registry import query, shareable
 from recloom.sources.staging import stage
 from recloom.sources.star import AFFINITY, DEFAULT_REGION, EVENTS_AS_OF, REGION_PATTERN, ROUNDS_AS_OF, Star
@@ -84,30 +85,7 @@ WITH recent AS (
   SELECT q.*, CASE WHEN q.player_id % 2 = 1 THEN l.game_title_id END AS because_you_played,
          CASE WHEN q.player_id % 2 = 1 THEN i.category_id END AS played_category
   FROM resolved q LEFT JOIN last_played l USING (player_id) LEFT JOIN items i USING (game_title_id)
-), candidates AS (
-  SELECT q.request_id, q.player_id, q.region_code, q.top_n, q.played_category, g.game_title_id, g.category_id,
-         c.subvertical, p.rounds_30d, p.ggr_30d_eur, p.popularity_trend,
-         coalesce(CASE g.category_id WHEN 1 THEN a.aff_economy WHEN 2 THEN a.aff_large WHEN 3 THEN a.aff_medium
-           WHEN 4 THEN a.aff_promo WHEN 5 THEN a.aff_small WHEN 6 THEN a.aff_standard ELSE a.aff_economy END, 0) AS aff_for_category,
-         CAST(g.return_to_player_pct AS DOUBLE) / 100 AS rtp_frac,
-         CAST(coalesce(b.rounds_30d, 0) AS DOUBLE) AS player_rounds_30d,
-         least(coalesce(rc.plays, 0), 10) / 10.0::DOUBLE AS recent_cat_activity_norm,
-         coalesce(rc.plays, 0) > 0 AS boosted,
-         CASE WHEN mb.game_title_id IS NOT NULL THEN 'MARKET_GAME_BLOCK'
-              WHEN mc.category_id IS NOT NULL THEN 'MARKET_CATEGORY_EXCLUSION'
-              WHEN pc.category_id IS NOT NULL THEN 'PLAYER_CATEGORY_EXCLUSION'
-              WHEN ps.subvertical IS NOT NULL THEN 'PLAYER_SUBVERTICAL_EXCLUSION' END AS excl_reason
-  FROM asked q JOIN items g ON g.available_for_play_yn AND (g.is_global_yn OR g.home_region_code = q.region_code)
-  JOIN categories c USING (category_id) LEFT JOIN item_profile p ON p.game_title_id = g.game_title_id
-  LEFT JOIN affinity a ON a.player_id = q.player_id LEFT JOIN behavior b ON b.player_id = q.player_id
-  LEFT JOIN recent rc ON rc.player_id = q.player_id AND rc.category_id = g.category_id
-  LEFT JOIN market_game_block mb ON mb.region_code = q.region_code AND mb.game_title_id = g.game_title_id
-  LEFT JOIN market_category_exclusion mc ON mc.region_code = q.region_code AND mc.category_id = g.category_id
-  LEFT JOIN player_category_exclusion pc ON pc.player_id = q.player_id AND pc.category_id = g.category_id
-  LEFT JOIN player_subvertical_exclusion ps ON ps.player_id = q.player_id AND ps.subvertical = c.subvertical
-), normed AS (
-  SELECT *, CAST(rounds_30d AS DOUBLE) / nullif(max(rounds_30d) OVER (PARTITION BY request_id), 0) AS game_rounds_30d_norm
-  FROM candidates
+), {candidate_rows('asked', 'player_id')}, normed AS ({normed_rows('candidates')}
 ), scored AS (
   SELECT *, {LINEAR_SQL} AS score FROM normed WHERE excl_reason IS NULL
 ), recommended AS (

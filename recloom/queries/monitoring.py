@@ -9,6 +9,7 @@ from recloom.functions import hashing
 from recloom.plans import monitor
 from recloom.plans.scoring import expression_scorer
 from recloom.queries.candidates import LINEAR, LINEAR_SQL, context
+from recloom.queries.prelude import candidate_rows, normed_rows
 from recloom.queries.registry import query, shareable
 from recloom.sources.star import ROUNDS_AS_OF, Star
 
@@ -42,26 +43,10 @@ WITH pool AS (
 ), recent AS (
   SELECT q.request_id, i.category_id, count(*) AS plays FROM backdated q JOIN rounds f ON f.player_id = q.player_id
     AND f.ts >= q.ref_ts - INTERVAL 24 HOUR AND f.ts < q.ref_ts JOIN items i USING (game_title_id) GROUP BY ALL
-), eligible_rows AS (
-  SELECT q.request_id, q.player_id, q.region_code, q.slot, q.ref_ts, g.game_title_id, g.category_id, p.rounds_30d,
-         coalesce(CASE g.category_id WHEN 1 THEN a.aff_economy WHEN 2 THEN a.aff_large WHEN 3 THEN a.aff_medium
-           WHEN 4 THEN a.aff_promo WHEN 5 THEN a.aff_small ELSE a.aff_standard END, 0) AS aff_for_category,
-         p.popularity_trend, CAST(g.return_to_player_pct AS DOUBLE) / 100 AS rtp_frac,
-         CAST(coalesce(b.rounds_30d, 0) AS DOUBLE) AS player_rounds_30d,
-         least(coalesce(rc.plays, 0), 10) / 10.0::DOUBLE AS recent_cat_activity_norm
-  FROM backdated q JOIN items g ON g.available_for_play_yn AND (g.is_global_yn OR g.home_region_code = q.region_code)
-  JOIN categories c USING (category_id) LEFT JOIN item_profile p ON p.game_title_id = g.game_title_id
-  LEFT JOIN affinity a ON a.player_id = q.player_id LEFT JOIN behavior b ON b.player_id = q.player_id
-  LEFT JOIN recent rc ON rc.request_id = q.request_id AND rc.category_id = g.category_id
-  LEFT JOIN market_game_block mb ON mb.region_code = q.region_code AND mb.game_title_id = g.game_title_id
-  LEFT JOIN market_category_exclusion mc ON mc.region_code = q.region_code AND mc.category_id = g.category_id
-  LEFT JOIN player_category_exclusion pc ON pc.player_id = q.player_id AND pc.category_id = g.category_id
-  LEFT JOIN player_subvertical_exclusion ps ON ps.player_id = q.player_id AND ps.subvertical = c.subvertical
-  WHERE mb.game_title_id IS NULL AND mc.category_id IS NULL AND pc.category_id IS NULL AND ps.subvertical IS NULL
+), {candidate_rows("backdated", "request_id")}, allowed AS (
+  FROM candidates WHERE excl_reason IS NULL
 ), logged AS (
-  SELECT *, {LINEAR_SQL} AS score FROM (
-    SELECT *, CAST(rounds_30d AS DOUBLE) / nullif(max(rounds_30d) OVER (PARTITION BY request_id), 0) AS game_rounds_30d_norm
-    FROM eligible_rows)
+  SELECT *, {LINEAR_SQL} AS score FROM ({normed_rows("allowed")})
 )
 """
 
