@@ -14,6 +14,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -25,7 +26,7 @@ from recloom.session import scratch_path
 
 SEQUENCE = 2048
 MAX_QUEUES = 1024  # the largest sources have a queue each, all others share one
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 600_000
 BROADCAST_ROWS = 100_000  # of 20 bytes; a longer table of offsets is joined by a shuffle
 
 
@@ -37,32 +38,92 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Token ids of texts, word by word: white space is dropped by the tokenizer, so words encode alone."""
+    """Token ids of texts, word by word: white space is dropped by the tokenizer, so words encode alone.
+
+    Words are lower-cased (A-Z; the tokenizer does so too) and known by a 64-bit hash and their length; the ids
+    of known words lie in one pool. New words of letters are encoded many at a time: each ends with an id that
+    carries the mark of a word's end.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes], end: int) -> list[bytes]:
-        """Packed ids of each text, ``end`` after them."""
-        words = [t.split() for t in texts]  # ASCII white space only
-        new = list(set().union(*words) - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED_WORDS:
-            self.known.clear()
-            new = list(set().union(*words))
-        kind = self.kind
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(part, coded, strict=True))
-        tail, get = np.array([end], kind).tobytes(), self.known.__getitem__
-        return [b"".join(map(get, w)) + tail for w in words]
-
-
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        # one key to begin with, so that there is always a next one to look at
+        self.keys, self.pool = np.zeros(1, np.uint64), np.zeros(0, self.kind)
+        self.at, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, ``end`` after each text, and how many each text has."""
+        starts, ends, doc, hashes = tx.words(texts)
+        codes, distinct = pd.factorize(tx.mix(hashes ^ (ends - starts).astype(np.uint64)))
+        first = np.zeros(len(distinct), np.int64)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        if len(self.keys) + len(distinct) > REMEMBERED_WORDS:
+            self._forget()
+        new = np.flatnonzero(self.keys[np.searchsorted(self.keys[:-1], distinct)] != distinct)
+        if len(new):
+            raw = tx.LOWER[tx.flat(texts)[0]].tobytes()
+            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
+            self._learn(distinct[new], [raw[a:b] for a, b in spans])
+        place = np.searchsorted(self.keys, distinct)[codes]
+        size = self.size[place]
+        reach = np.cumsum(size)
+        ids = self.pool[np.repeat(self.at[place] - (reach - size), size) + np.arange(reach[-1] if len(reach) else 0)]
+        counts = np.bincount(doc, size, len(texts)).astype(np.int64) + 1
+        out = np.full(len(ids) + len(texts), end, self.kind)
+        inner = np.ones(len(out), bool)
+        inner[np.cumsum(counts) - 1] = False
+        out[inner] = ids
+        return out, counts
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Add new words; sentence marks behind letters are tokens of their own."""
+        coded: dict[bytes, bytes] = {}
+        stems, marks = list(words), [b""] * len(words)
+        for i, word in enumerate(words):
+            if word[-1] in _MARKS:
+                stem = word.rstrip(_MARKS)
+                if stem and (97 <= stem[-1] <= 122 or stem.decode()[-1].isalpha()):
+                    stems[i], marks[i] = stem, word[len(stem) :]
+        wanted = {*stems, *marks} - {b""}
+        letters = [w for w in wanted if w.decode().isalpha()]
+        for at in range(0, len(letters), 2_000):
+            self._code_letters(letters[at : at + 2_000], coded)
+        self._code(list(wanted.difference(letters)), coded)
+        coded[b""] = b""
+        parts = [coded[s] + coded[m] for s, m in zip(stems, marks, strict=True)]
+        size = np.array([len(x) for x in parts], np.int64) // self.kind.itemsize
+        at = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(parts), self.kind)))
+        every = np.concatenate((self.keys, keys))
+        order = np.argsort(every)
+        self.keys = every[order]
+        self.at, self.size = np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]
+
+    def _code(self, words: list[bytes], coded: dict[bytes, bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        coded.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(words, found, strict=True))
+
+    def _code_letters(self, words: list[bytes], coded: dict[bytes, bytes]) -> None:
+        joined = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0]
+        ids = np.array(joined.ids, self.kind)
+        stops = (np.flatnonzero(self.closes[ids]) + 1) * self.kind.itemsize
+        if len(stops) != len(words):  # a vocabulary without such marks
+            return self._code(words, coded)
+        data, edges = ids.tobytes(), [0, *stops.tolist()]
+        coded.update((w, data[a:b]) for w, a, b in zip(words, edges, edges[1:], strict=False))
+
+
+_MARKS = b".,;:!?"
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -75,22 +136,25 @@ def tokenize(docs: DataFrame, path: str, end: int) -> DataFrame:
             _ENCODERS[path] = WordEncoder(path)
         encoder, part, so_far = _ENCODERS[path], TaskContext.get().partitionId(), {}
         for batch in batches:
-            texts = tx.column(batch, "text").cast(pa.large_binary())
-            for a, b in tx.chunks(texts.cast(pa.large_string())):
-                ids = encoder.encode(texts.slice(a, b - a).to_pylist(), end)
-                n = [len(x) // encoder.kind.itemsize for x in ids]
+            texts = tx.column(batch, "text")
+            for a, b in tx.chunks(texts):
+                ids, n = encoder.encode(texts.slice(a, b - a), end)
                 queues, before = batch.column(1).slice(a, b - a).to_pylist(), []
-                for q, k in zip(queues, n, strict=True):
+                for q, k in zip(queues, n.tolist(), strict=True):
                     before.append(so_far.get(q, 0))
                     so_far[q] = before[-1] + k
+                edges = np.concatenate(([0], np.cumsum(n))) * ids.itemsize
+                packed = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), len(n), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(ids)]
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
                         pa.array(queues, pa.int32()),
                         pa.array([part] * len(n), pa.int32()),
                         pa.array(before, pa.int64()),
-                        pa.array(n, pa.int64()),
-                        pa.array(ids, pa.binary()),
+                        pa.array(n),
+                        packed.cast(pa.binary()),
                     ],
                     ["doc_id", "queue", "part", "before", "n", "ids"],
                 )
