@@ -23,8 +23,8 @@ from recloom.session import work_partitions
 
 NORM_SCOPES = ("catalog", "market", "eligible")
 TRACE_EXCLUSIONS = 200
-# Far above the rounding of a score in 0..1, far below a visible difference.
-MARGIN = 1e-9
+# Above what rounding can move a sum of features by while it stays below 1e9 in size.
+MARGIN = 1e-6
 
 
 def resolve_requests(
@@ -224,7 +224,7 @@ def catalog_top(catalog: DataFrame | None) -> Column:
 
 
 def heads(market: DataFrame, item_part: str, k: int, catalog_most: Column | None = None) -> DataFrame:
-    """The items that can reach a rail of length ``k`` when the score adds an item part to a player part.
+    """The items that can reach a rail of length ``k`` when the rails' order adds an item part to a player part.
 
     Inside one market and category all candidates of a request share the player's features, so their
     order is that of ``item_part``, an SQL expression over ``game_rounds_30d_norm``,

@@ -71,13 +71,14 @@ def player_behavior(
         .groupBy("player_id", "vertical", "subvertical")
         .agg(*add_up())
     )
-    by_vertical = by_subvertical.groupBy("player_id", "vertical").agg(
-        *add_up(), preferred("subvertical").alias("best_subvertical")
-    )
-    by_player = by_vertical.groupBy("player_id").agg(
-        *add_up(),
-        preferred("vertical").alias("best_vertical"),
-        F.min("best_subvertical").alias("best_subvertical"),
+    by_vertical = by_subvertical.groupBy("player_id", "vertical").agg(*add_up())
+    # a subvertical may stand under several verticals: its rounds are added up over them
+    whole = by_subvertical.groupBy("player_id", "subvertical").agg(F.sum("rounds").alias("rounds"))
+    favourite = whole.groupBy("player_id").agg(preferred("subvertical").alias("best_subvertical"))
+    by_player = (
+        by_vertical.groupBy("player_id")
+        .agg(*add_up(), preferred("vertical").alias("best_vertical"))
+        .join(favourite, "player_id", "left")
     )
     last = F.col("last_ts")
     stake, ggr = F.coalesce("stake", F.lit(0)), F.coalesce("ggr", F.lit(0))

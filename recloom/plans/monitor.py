@@ -19,7 +19,6 @@ from recloom.schemas import FEATURE_COLS
 from recloom.sources.staging import stage
 
 MONITORED = [*FEATURE_COLS, "score"]
-BASELINE_ROWS = 3_000
 BINS = 10
 EPSILON = 1e-6
 
@@ -96,12 +95,13 @@ def log_rows(scored: DataFrame) -> DataFrame:
 
 
 def baseline(
-    log: DataFrame, keys: Sequence[str], rows: int = BASELINE_ROWS, seed: int = 42,
+    log: DataFrame, keys: Sequence[str], rows: int | None = None, seed: int = 42,
     hasher: hashing.Hasher = hashing.mixed, unit: str = "day",
 ) -> DataFrame:
-    """A reproducible sample of at most ``rows`` rows of the earliest day of the log."""
+    """The earliest day of the log, or a reproducible sample of at most ``rows`` of its rows."""
     first = log.agg(F.min(F.date_trunc(unit, "event_ts"))).scalar()
-    return hash_sample(log.filter(F.date_trunc(unit, "event_ts") == first), keys, rows, seed, hasher)
+    day = log.filter(F.date_trunc(unit, "event_ts") == first)
+    return day if rows is None else hash_sample(day, keys, rows, seed, hasher)
 
 
 def volume(log: DataFrame, segment: str = "region_code", unit: str = "day") -> DataFrame:
@@ -123,14 +123,7 @@ def long_form(log: DataFrame, columns: Sequence[str], segment: str, unit: str) -
 def statistics(
     log: DataFrame, columns: Sequence[str] = tuple(MONITORED), segment: str = "region_code", unit: str = "day"
 ) -> DataFrame:
-    """Count, nulls, mean, deviation and range per period, segment and column.
-
-    Sums run over decimals, so that they do not depend on the order of rows.
-    """
-    exact = F.col("value").cast("decimal(20,6)")
-    rows = F.col("n").cast("double")
-    mean = F.col("total").cast("double") / rows
-    spread = (F.col("squares").cast("double") - F.col("total").cast("double") * mean) / (rows - 1)
+    """Count, nulls, mean, deviation and range per period, segment and column, for values of any size."""
     return (
         long_form(log, columns, segment, unit)
         .groupBy("period", segment, "metric")
@@ -139,14 +132,9 @@ def statistics(
             F.count_if(F.col("value").isNull()).alias("nulls"),
             F.min("value").alias("low"),
             F.max("value").alias("high"),
-            F.sum(exact).alias("total"),
-            F.sum((exact * exact).cast("decimal(28,8)")).alias("squares"),
+            F.avg("value").alias("mean"),
+            F.stddev_samp("value").alias("deviation"),
         )
-        .select(
-            "period", segment, "metric", "n", "nulls", "low", "high",
-            F.when(F.col("n") > 0, mean).alias("mean"),
-            F.when(F.col("n") > 1, F.sqrt(F.greatest(spread, F.lit(0.0)))).alias("deviation"),
-        )
     )
 
 
@@ -167,10 +155,7 @@ def quantiles(
 
 
 def bin_edges(base: DataFrame, columns: Sequence[str], segment: str, bins: int = BINS) -> DataFrame:
-    """Inner bin edges per segment and column: the baseline's exact quantiles.
-
-    The baseline is at most ``BASELINE_ROWS`` long, so exact quantiles are cheap.
-    """
+    """Inner bin edges per segment and column: the baseline's exact quantiles, from counts per distinct value."""
     inner = [i / bins for i in range(1, bins)]
     values = base.select(segment, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [segment], list(columns), "metric", "value"

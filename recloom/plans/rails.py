@@ -16,9 +16,10 @@ SIMILAR = "because_you_played"
 MAX_PER_CATEGORY = 4
 
 
-def best_first() -> list[Column]:
-    """By score; the lower id wins a tie."""
-    return [F.desc("score"), F.col("game_title_id")]
+def best_first(df: DataFrame) -> list[Column]:
+    """By ``rank_score``, what a scorer computes before it is squashed into 0..1, else by score; the lower id
+    wins a tie. A probability that rounds to 1 for many items still leaves them in order."""
+    return [F.desc("rank_score" if "rank_score" in df.columns else "score"), F.col("game_title_id")]
 
 
 def longest_rail(requests: DataFrame) -> int:
@@ -33,8 +34,8 @@ def cut(df: DataFrame, group: Sequence[str], order: Sequence[Column], longest: i
 
 def diversify(scored: DataFrame, longest: int, max_per_cat: int = MAX_PER_CATEGORY) -> DataFrame:
     """Best first, at most ``max_per_cat`` per category, then the first ``top_n``."""
-    capped = top_per_group(scored, ["request_id", "category_id"], best_first(), max_per_cat, "_in_category")
-    return cut(capped.drop("_in_category"), ["request_id"], best_first(), longest)
+    capped = top_per_group(scored, ["request_id", "category_id"], best_first(scored), max_per_cat, "_in_category")
+    return cut(capped.drop("_in_category"), ["request_id"], best_first(scored), longest)
 
 
 def trending(scored: DataFrame, longest: int) -> DataFrame:
@@ -46,9 +47,8 @@ def trending(scored: DataFrame, longest: int) -> DataFrame:
 
 def because_you_played(scored: DataFrame, longest: int) -> DataFrame:
     """Best of the category of the item last played (``played_category`` of the request)."""
-    return cut(
-        scored.filter(F.col("category_id") == F.col("played_category")), ["request_id"], best_first(), longest
-    )
+    same = scored.filter(F.col("category_id") == F.col("played_category"))
+    return cut(same, ["request_id"], best_first(scored), longest)
 
 
 def played_category(requests: DataFrame, items: DataFrame) -> DataFrame:

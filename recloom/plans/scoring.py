@@ -32,23 +32,31 @@ def load_ranker(path: str) -> PipelineModel:
 
 
 def model_scorer(model: PipelineModel | None) -> Scorer:
-    """P(class = 1) of the fitted pipeline as column ``score``."""
+    """P(class = 1) of the fitted pipeline as column ``score``, its raw margin as ``rank_score``."""
     if model is None:
         raise RankerUnavailable("no ranker given")
 
     def score(df: DataFrame) -> DataFrame:
         names = df.columns
         scored = model.transform(fill_features(df))
-        return scored.select(*names, vector_to_array("probability")[1].alias("score"))
+        return scored.select(
+            *names,
+            vector_to_array("probability")[1].alias("score"),
+            vector_to_array("rawPrediction")[1].alias("rank_score"),
+        )
 
     return score
 
 
-def expression_scorer(expression: str) -> Scorer:
-    """A fixed SQL expression over the filled features; for checks against other engines."""
+def expression_scorer(expression: str, margin: str | None = None) -> Scorer:
+    """A fixed SQL expression over the filled features; for checks against other engines.
+
+    ``margin`` is what the rails are ordered by, where the score is a squashed form of it.
+    """
 
     def score(df: DataFrame) -> DataFrame:
-        return fill_features(df).withColumn("score", F.expr(expression))
+        scored = fill_features(df).withColumn("score", F.expr(expression))
+        return scored if margin is None else scored.withColumn("rank_score", F.expr(margin))
 
     return score
 

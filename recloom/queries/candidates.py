@@ -190,6 +190,20 @@ def rc4_all(star: Star) -> DataFrame:
     return done.rails.select("request_id", "rail", "rank", "game_title_id", "score", "trend_score")
 
 
+SATURATED_SQL = RAILS_SQL.replace(LINEAR_SQL, f"40::DOUBLE + ({LINEAR_SQL})").replace(" score, trend_score FROM", " 1.0::DOUBLE AS score, trend_score FROM")
+
+
+@query("rc4_rails_saturated", SATURATED_SQL)
+def rc4_saturated(star: Star) -> DataFrame:
+    """A probability that rounds to 1 for every item: the margin behind it keeps the order."""
+    margin = f"40.0D + ({LINEAR})"
+    done = recommend.recommend(
+        last_played(star), context(star), expression_scorer(f"1.0D / (1.0D + exp(-({margin})))", margin), ROUNDS_AS_OF,
+        "saturated-check", recent_rows(star), item_part=ITEM_PART,
+    )
+    return done.rails.select("request_id", "rail", "rank", "game_title_id", "score", "trend_score")
+
+
 DECISIONS_SQL = CANDIDATES + """, decided AS (
   SELECT request_id, count(*) FILTER (excl_reason IS NULL) AS candidate_set_size,
          count(*) FILTER (excl_reason IS NOT NULL) AS excluded_count,

@@ -65,19 +65,15 @@ def mon1(star: Star) -> DataFrame:
     )
 
 
-BASE_HASH = hashing.portable_sql(["player_id", "game_title_id"], 42)
-
-
 @query(
     "mon2_baseline",
     BACKFILL
-    + f"""SELECT request_id, game_title_id, region_code, score FROM logged
-          WHERE date_trunc('day', ref_ts) = (SELECT min(date_trunc('day', ref_ts)) FROM logged)
-          ORDER BY {BASE_HASH}, player_id, game_title_id LIMIT 3000""",
+    + """SELECT request_id, game_title_id, region_code, score FROM logged
+         WHERE date_trunc('day', ref_ts) = (SELECT min(date_trunc('day', ref_ts)) FROM logged)""",
 )
 def mon2(star: Star) -> DataFrame:
     log = backfilled(star).withColumn("event_ts", F.col("ref_ts"))
-    return monitor.baseline(log, ["player_id", "game_title_id"], hasher=hashing.portable).select(
+    return monitor.baseline(log, ["player_id", "game_title_id"]).select(
         "request_id", "game_title_id", "region_code", "score"
     )
 
@@ -124,18 +120,12 @@ def order_log(star: Star) -> DataFrame:
 @query(
     "mon4_statistics",
     LOGGED
-    + """, sums AS (
-      SELECT period, region_code, metric, count(value) AS n, count(*) - count(value) AS nulls, min(value) AS low, max(value) AS high,
-             CAST(sum(CAST(value AS DECIMAL(20,6))) AS DOUBLE) AS total,
-             CAST(sum(CAST(value AS DECIMAL(19,4)) * CAST(value AS DECIMAL(19,4))) AS DOUBLE) AS squares
-      FROM long GROUP BY ALL
-    ) SELECT period, region_code, metric, n, nulls, low, high, total / n AS mean,
-             CASE WHEN n > 1 THEN round(sqrt(greatest((squares - total * (total / n)) / (n - 1), 0)), 6) END AS deviation FROM sums""",
+    + """SELECT period, region_code, metric, count(value) AS n, count(*) - count(value) AS nulls, min(value) AS low,
+         max(value) AS high, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation FROM long GROUP BY ALL""",
 )
 def mon4(star: Star) -> DataFrame:
-    return monitor.statistics(order_log(star), METRICS, unit="month").withColumn(
-        "deviation", F.round("deviation", 6)
-    )
+    told = monitor.statistics(order_log(star), METRICS, unit="month")
+    return told.withColumns({c: F.round(c, 6) for c in ("mean", "deviation")})
 
 
 @query("mon4_quantiles")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from recloom.plans.recent import only_plays
 
 WATERMARK = "10 minutes"
+# Triggers are the arguments of ``DataStreamWriter.trigger``: this one ends with the input, and
+# ``{"processingTime": "1 minute"}`` keeps a stream running.
+ONCE = {"availableNow": True}
 
 
 def file_stream(
@@ -59,13 +64,13 @@ def drop_repeats(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     )
 
 
-def append_raw(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def append_raw(events: DataFrame, path: str, checkpoint: str, trigger: Mapping | None = None) -> StreamingQuery:
     """Append a stream to the raw event table, exactly once."""
     return (
         events.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ONCE))
         .start(path)
     )
 

@@ -195,3 +195,16 @@ def test_duplicate_keys(spark):
 def test_defaults_of_declared_tables(spark):
     row = tables.conform(spark.createDataFrame([(5,)], "game_title_id BIGINT"), "game_title_dim").first()
     assert row.is_global_yn is True and row.has_jackpot_yn is False and row.game_title is None
+
+
+def test_preferred_subvertical_adds_up_over_verticals(spark, dims):
+    regions, _, _, players = dims
+    categories = spark.createDataFrame(
+        [(1, "casino", "table"), (2, "casino", "slots"), (3, "live", "slots")],
+        "category_id BIGINT, vertical STRING, subvertical STRING",
+    )
+    items = spark.createDataFrame([(10, 1), (11, 2), (12, 3)], "game_title_id BIGINT, category_id BIGINT")
+    rows = [(1, game, "2024-06-30 10:00:00", "1", "0") for game in [10] * 5 + [11] * 3 + [12] * 3]
+    rolled = features.player_item_rollup(rounds(spark, rows), AS_OF)
+    one = features.player_behavior(rolled, players, regions, items, categories, AS_OF).filter("player_id = 1").first()
+    assert (one.pref_vertical, one.pref_subvertical, one.total_rounds) == ("casino", "slots", 11)

@@ -172,3 +172,34 @@ def test_fallback_to_raw_events(spark):
     known = recent.minute_tiles(raw.filter("player_id = 3"), tiles.PLAYER_CATEGORY)
     got = {r.player_id: r.feature_source for r in recent.recent_categories(known, raw, "2024-01-01 01:00:00").collect()}
     assert got == {3: "online", 4: "sql"}
+
+
+def test_saturated_rails_from_heads_equal_all(star):
+    """A margin of 40 squashes to a probability of 1 for every item; the order must not be lost."""
+    margin = f"40.0D + ({bulk.LINEAR})"
+    scorer = scoring.expression_scorer(f"1.0D / (1.0D + exp(-({margin})))", margin)
+    args = (bulk.last_played(star), bulk.context(star), scorer, ROUNDS_AS_OF, "V2", bulk.recent_rows(star))
+    columns = ["request_id", "rail", "rank", "game_title_id", "score"]
+    full = recommend.recommend(*args).rails.select(columns)
+    fast = recommend.recommend(*args, item_part=bulk.ITEM_PART).rails.select(columns)
+    assert full.filter("score < 1").count() == 0
+    assert full.count() == fast.count() and full.exceptAll(fast).count() == 0
+
+
+def test_compaction_keeps_days_whose_batches_are_gone(spark, tmp_path):
+    path, schema = str(tmp_path / "closed"), "player_id BIGINT, minute TIMESTAMP_NTZ, plays BIGINT, stake DECIMAL(38,2)"
+    for day in (1, 2, 3):
+        now = spark.createDataFrame([(7, datetime(2024, 1, day, 5, 30), day, None)], schema)
+        tiles.compact(now, path, F.lit(datetime(2024, 1, day + 1)))
+    kept = spark.read.parquet(path).orderBy("minute").collect()
+    assert [(r.minute.day, r.plays) for r in kept] == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_statistics_of_small_and_large_values(spark):
+    from recloom.plans import monitor
+
+    rows = [(datetime(2024, 1, 1), "UK", v, w) for v, w in ((1e-7, 3e10), (3e-7, 5e10))]
+    log = spark.createDataFrame(rows, "event_ts TIMESTAMP_NTZ, region_code STRING, small DOUBLE, large DOUBLE")
+    got = {r.metric: r for r in monitor.statistics(log, ["small", "large"]).collect()}
+    assert got["small"].mean == pytest.approx(2e-7) and got["small"].deviation == pytest.approx(1.41421356e-7)
+    assert got["large"].mean == pytest.approx(4e10)
