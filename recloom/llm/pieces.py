@@ -14,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recloom.llm import text as tx
 
 MARK = "▁"
-REMEMBERED = 400_000  # words and neighbouring pieces kept between batches
+REMEMBERED = 250_000  # words kept between batches, twice
 
 
 def default_model() -> str:
@@ -47,15 +48,21 @@ class Pieces:
         self.surface = [b"" if special(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
         for b, i in enumerate(self.bytes):
             self.surface[i] = bytes([b])
+        self.letters = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.width = np.array([len(x) for x in self.surface], np.int64)
+        self.begin = np.cumsum(self.width) - self.width
+        self.stories: dict[str, list] = {}
         whole = [p for p in self.ids if self.merged(p) == [p]]  # others never come out of merging
         self.tails = {p[i:]: False for p in whole for i in range(1, len(p))} | dict.fromkeys(whole, True)
         # words may be cut wherever no piece goes across
         self.cut = _LETTERS if all(len(_LETTERS.findall(p)) == 1 for p in whole) else _WORD
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.beside: dict[tuple[str, str], bool] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """Merge the best-scored neighbours, leftmost first, until nothing merges."""
+    def merged(self, text: str, steps: list | None = None) -> list[str]:
+        """Merge the best-scored neighbours, leftmost first, until nothing merges; ``steps`` gets the score of each
+        merge and the first and last part after it."""
         parts = list(text)
         while len(parts) > 1:
             best, at = None, -1
@@ -66,17 +73,39 @@ class Pieces:
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            if steps is not None:
+                steps.append((best, parts[0], parts[-1]))
         return parts
 
-    def follows(self, first: str, second: str) -> bool:
-        """Whether the two pieces stay apart side by side."""
-        key = (first, second)
-        known = self.beside.get(key)
+    def story(self, piece: str) -> list:
+        """How a piece comes about, step by step."""
+        known = self.stories.get(piece)
         if known is None:
-            both = first + second
-            known = self.beside[key] = both not in self.score and self.merged(both) == [first, second]
+            known = self.stories[piece] = []
+            self.merged(piece, known)
         return known
 
+    def follows(self, first: str, second: str) -> bool:
+        """Whether the two pieces stay apart side by side: no merge across ever comes before their own."""
+        left, right, get = self.story(first), self.story(second), self.score.get
+        a, b, i, j = first[-1], second[0], 0, 0
+        while True:
+            mine = left[i][0] if i < len(left) else None
+            other = right[j][0] if j < len(right) else None
+            across = get(a + b)
+            if across is not None and (mine is None or across > mine) and (other is None or across >= other):
+                apart = False
+                break
+            if mine is None and other is None:
+                apart = True
+                break
+            if other is None or mine is not None and mine >= other:
+                a, i = left[i][2], i + 1
+            else:
+                b, j = right[j][1], j + 1
+        self.beside[first, second] = apart
+        return apart
+
     def segment(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """The pieces of every word of a sorted list, walked as a trie.
 
@@ -125,21 +154,29 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text; an empty text has none."""
         cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        wanted = set().union(*cut) - self.words.keys()
-        if len(self.words) + len(wanted) > REMEMBERED:
-            self.words.clear()
-            wanted = set().union(*cut)
-        if len(self.beside) > 2 * REMEMBERED:
+        wanted = set().union(*cut)
+        if len(self.words) > REMEMBERED:  # words seen since the last turn are taken over as they come again
+            self.older, self.words = self.words, {}
+        wanted -= self.words.keys()
+        again = wanted & self.older.keys()
+        self.words.update((w, self.older[w]) for w in again)
+        wanted -= again
+        if len(self.beside) > 4 * REMEMBERED:
             self.beside.clear()
         for word, parts in self.segment(sorted(wanted)):
             self.words[word] = self.packed(parts)
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text behind the ids; the space that marks the first word goes."""
-        raw = b"".join(map(self.surface.__getitem__, ids))
-        return raw.decode("utf-8", "replace").removeprefix(" ")
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts behind so many ids each; the space that marks the first word goes."""
+        size = self.width[ids]
+        reach = np.cumsum(size)
+        take = np.repeat(self.begin[ids] - (reach - size), size) + np.arange(reach[-1] if len(reach) else 0)
+        raw = self.letters[take].tobytes()
+        stops = np.concatenate(([0], reach))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        texts = (raw[a:b].decode("utf-8", "replace") for a, b in zip(stops, stops[1:], strict=False))
+        return [t.removeprefix(" ") for t in texts]
 
 
 # A run of spaces with what follows it, up to the next space or, in the finer cut, to where letters begin or end.
@@ -186,8 +223,15 @@ def decode(encoded: DataFrame, model: str | None = None, ids_col: str = "ids") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
         for batch in batches:
-            texts = [None if x is None else pieces.decode(x) for x in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "text"])
+            lists, texts = batch.column(place), []
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            ids = lists.flatten().to_numpy()
+            edges = np.concatenate(([0], np.cumsum(counts)))
+            for at in range(0, len(counts), 200):
+                some = slice(at, at + 200)
+                texts += pieces.decode(ids[edges[at] : edges[min(at + 200, len(counts))]], counts[some])
+            column = pc.if_else(lists.is_valid(), pa.array(texts, pa.string()), None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*names, "text"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, ddl + ", text string")
