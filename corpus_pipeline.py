@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxic documents go, repeated line chunks go, one document of each near-duplicate group
+"""The corpus pipeline: toxic documents go, repeated runs of lines go, one document of each near-duplicate group
 stays, secrets are blanked, the rest is packed into sequences.
 
 Stages are ``(spark, docs, sf_dir) -> DataFrame``; all but the last return the columns of ``documents``.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recloom.llm import line_chunks, minhash_join, packing, secrets, toxicity
+from recloom.llm import line_runs, minhash_join, packing, secrets, toxicity
 from recloom.llm.queries import corpus_session, table
 from recloom.sources.staging import stage
 
@@ -28,9 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without line chunks that occur before; emptied documents stay as empty texts."""
+    """Every document, without runs of lines that occur before; emptied documents stay as empty texts."""
     corpus_session(spark)
-    return _with_length(line_chunks.dedup_lines(docs).drop("lines_removed", "chars_removed"))
+    return _with_length(line_runs.dedup_runs(docs).drop("lines_removed", "chars_removed"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ STAGES = [
     ("secrets", blank_secrets),
     ("packing", pack),
 ]
-# Decoding, chunk boundaries, MinHash and tokens are beyond SQL; tests/llm compares with brute force.
+# Decoding, repeated runs, MinHash and tokens are beyond SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 

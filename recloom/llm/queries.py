@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recloom.llm import line_chunks, metric_join, minhash_join, packing, permutation_index, pieces, pii, quality, secrets, toxicity
+from recloom.llm import line_runs, metric_join, minhash_join, packing, permutation_index, pieces, pii, quality, secrets, toxicity
 from recloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,7 +99,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_line_chunk_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_chunks.dedup_lines(docs).select("doc_id", "lines_removed", "chars_removed", "text")
+    return line_runs.dedup_runs(docs).select("doc_id", "lines_removed", "chars_removed", "text")
 
 
 @query("op6_mixture_packing")
