@@ -2,8 +2,9 @@
 
 A disguised token is read as letters sent through a channel that swaps look-alikes (``l0ser``), separates
 letters (``i d i o t``, ``s.t.u.p.i.d``), masks them (``st*pid``) or repeats them (``idiooot``). Each place of
-the token has a few letters it may stand for; Viterbi picks the likeliest text. A token whose lattice has a
-single path is its own decoding, so only the others are decoded.
+the token has a few letters it may stand for; Viterbi picks the likeliest text. A token is decoded if it has a
+letter and any place with a choice: a look-alike, a doubled letter of Latin-1 or a separator between letters. So are
+three or more single letters or look-alikes, one of them a letter, with only separators between them.
 """
 
 from __future__ import annotations
@@ -43,6 +44,10 @@ _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
 _LEET = np.zeros(256, bool)
 _LEET[[ord(c) for c in LOOKALIKES]] = True
+# What stands for one letter: marks may also surround it, as in "t!".
+_ONE = np.zeros(256, bool)
+_ONE[97:123] = _ONE[48:58] = True
+_ONE[[0xC3, ord("@"), ord("$")]] = True
 _SEP = np.zeros(256, bool)
 _SEP[[ord(c) for c in SEPARATORS]] = True
 
@@ -84,8 +89,8 @@ def log_model(counts: DataFrame) -> np.ndarray:
     return np.log(three / three.sum(2, keepdims=True)).astype(np.float32)
 
 
-def _places(token: str) -> list[list[tuple[int | None, float]]]:
-    """The lattice: per place its (symbol or None for nothing, log-probability)."""
+def _places(token: str) -> list[tuple[str, list[tuple[int | None, float]]]]:
+    """The lattice: per place its character, and (symbol or None for nothing, log-probability) of each alternative."""
     out, before, run = [], "", 0
     for i, c in enumerate(token):
         run = run + 1 if c == before else 1
@@ -93,27 +98,27 @@ def _places(token: str) -> list[list[tuple[int | None, float]]]:
         letter = int(_SYMBOL[min(ord(c), len(_SYMBOL) - 1)])
         if letter:
             if run == 1:
-                out.append([(letter, 0.0)])
+                out.append((c, [(letter, 0.0)]))
             elif run == 2:  # a double letter, or one said twice
-                out.append([(letter, DOUBLE), (None, DOUBLE)])
+                out.append((c, [(letter, DOUBLE), (None, DOUBLE)]))
         elif c in LOOKALIKES:
             may = [(ord(x) - 96, SWAP) for x in LOOKALIKES[c]]
             if run > 1 or i in (0, len(token) - 1):
                 may.append((None, DROP))
             if run < 3:
-                out.append(may + [(0, KEEP_GAP)] * (c in "!|+(*#"))
+                out.append((c, may + [(0, KEEP_GAP)] * (c in "!|+(*#")))
         elif c in SEPARATORS:
             if run == 1:
-                out.append([(None, DROP), (0, KEEP_GAP)])
+                out.append((c, [(None, DROP), (0, KEEP_GAP)]))
         else:
-            out.append([(0, 0.0)])
+            out.append((c, [(0, 0.0)]))
     return out
 
 
 def decode(token: str, model: np.ndarray) -> str:
     """The likeliest text behind one token. Ties go to the earlier alternative of each place."""
     best = {(0, 0): (0.0, None)}
-    for place in _places(token):
+    for c, place in _places(token):
         step: dict = {}
         for (p, q), (score, path) in best.items():
             row = model[p, q]
@@ -123,7 +128,7 @@ def decode(token: str, model: np.ndarray) -> str:
                 elif symbol == 0 and q == 0:
                     key, total, back = (p, q), score + cost, path
                 else:
-                    key, total, back = (q, symbol), score + cost + float(row[symbol]), (symbol, path)
+                    key, total, back = (q, symbol), score + cost + float(row[symbol]), (_CHARS.get(symbol, c), path)
                 if key not in step or total > step[key][0]:
                     step[key] = (total, back)
         best = step
@@ -133,23 +138,48 @@ def decode(token: str, model: np.ndarray) -> str:
     )
     out = []
     while path:
-        out.append(_CHARS.get(path[0], "?"))
+        out.append(path[0])
         path = path[1]
     return "".join(reversed(out)).strip()
 
 
-def _suspects(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (bytes, lower case) whose token has a lattice of several paths, and where spaced letters begin."""
+def _suspects(raw: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sorted (start, end) of what is to be decoded: tokens whose lattice has a choice, and runs of spaced letters."""
     n = len(raw)
-    pad = np.concatenate((np.full(6, 32, np.uint8), raw, np.full(6, 32, np.uint8)))
-    at = lambda k: pad[6 + k : 6 + k + n]
-    letter = lambda k: _LETTER[at(k)]
-    three = (at(-1) == raw) & (at(1) == raw) | (at(-2) == raw) & (at(-1) == raw) | (at(1) == raw) & (at(2) == raw)
-    leet = _LEET[raw] & ~three & (letter(1) | letter(-1) & ((raw >= 48) & (raw <= 57) | (raw == 64) | (raw == 36)))
-    repeat = (raw >= 97) & (raw <= 122) & (at(1) == raw) & (at(2) == raw)
-    gap = lambda k: _SEP[at(k)]
-    spaced = ~letter(-1) & letter(0) & gap(1) & letter(2) & gap(3) & letter(4) & ~letter(5)
-    return np.flatnonzero(leet | repeat), np.flatnonzero(spaced)
+    letter, leet, gap = _LETTER[raw], _LEET[raw], _SEP[raw]
+    core = np.concatenate(([0], np.cumsum(letter | leet)))
+    choice = leet.copy()
+    choice[1:] |= letter[1:] & (raw[1:] < 128) & (raw[1:] == raw[:-1])
+    choice[3:] |= (raw[2:-1] == 0xC3) & (raw[:-3] == 0xC3) & (raw[3:] == raw[1:-2])
+    places = np.flatnonzero(gap & (raw != 32))
+    token = np.searchsorted(starts, places, "right") - 1
+    between = (core[places] > core[starts[token]]) & (core[ends[token]] > core[places + 1])
+    choice[places[between]] = True
+    count = lambda x: (lambda sums: sums[ends] - sums[starts])(np.concatenate(([0], np.cumsum(x))))
+    chosen = np.flatnonzero((count(choice) > 0) & (count(letter) > 0))
+    spans = np.stack((starts[chosen], ends[chosen]), 1)
+
+    # words of letters and look-alikes that stand for one letter each
+    inside = letter | leet
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    opens = np.flatnonzero(inside & (edge[:-1] | np.concatenate(([True], ~inside[:-1]))))
+    closes = np.flatnonzero(inside & (edge[1:] | np.concatenate((~inside[1:], [True])))) + 1
+    sums = lambda x: np.concatenate(([0], np.cumsum(x)))
+    ones, follows, gaps = sums(_ONE[raw]), sums((raw & 0xC0) == 0x80), sums(gap)
+    lead = sums((raw >= 0x80) & ((raw & 0xC0) != 0x80) & (raw != 0xC3))
+    number = ones[closes] - ones[opens]
+    length = closes - opens - (follows[closes] - follows[opens])
+    single = (lead[closes] == lead[opens]) & ((number == 1) | (number == 0) & (length == 1))
+    linked = single[1:] & single[:-1] & (gaps[opens[1:]] - gaps[closes[:-1]] == opens[1:] - closes[:-1])
+    linked &= sums(edge)[opens[1:] + 1] == sums(edge)[closes[:-1]]  # in one text
+    head = np.flatnonzero(single & ~np.concatenate(([False], linked))[: len(single)])
+    tail = np.flatnonzero(single & ~np.concatenate((linked, [False]))[: len(single)])
+    letters = sums(letter)
+    enough = (tail - head >= 2) & (letters[closes[tail]] > letters[opens[head]])
+    spaced = np.stack((opens[head[enough]], closes[tail[enough]]), 1)
+    spans = np.concatenate((spans, spaced))
+    return spans[np.lexsort((spans[:, 1], spans[:, 0]))]
 
 
 class Restorer:
@@ -158,41 +188,38 @@ class Restorer:
     def __init__(self, model: np.ndarray, remember: int = 200_000):
         self.model, self.remember, self.known = model, remember, {}
 
-    def word(self, token: str) -> str:
+    def word(self, token: bytes) -> bytes:
         found = self.known.get(token)
         if found is None:
             if len(self.known) >= self.remember:
                 self.known.clear()
-            found = self.known[token] = decode(token, self.model)
+            found = self.known[token] = decode(token.decode("utf-8", "replace"), self.model).encode()
         return found
 
     def restore(self, texts: pa.Array) -> pa.Array:
         """The texts with every disguised token replaced; a text without any is passed on as it is."""
         raw, at = tx.flat(texts)
         raw = tx.LOWER[raw]
-        tokens, spaced = _suspects(raw)
-        if not len(tokens) and not len(spaced):
+        starts, ends, _, _ = tx.words(texts)
+        spans = _suspects(raw, at, starts, ends) if len(starts) else np.zeros((0, 2), np.int64)
+        if not len(spans):
             return texts
-        starts, ends, doc, _ = tx.words(texts)
-        number = np.searchsorted(ends, tokens, "right")
-        spans = [(int(starts[k]), int(ends[k])) for k in np.unique(number)]
-        first = np.searchsorted(ends, spaced, "right")
-        last = np.minimum(np.searchsorted(ends, spaced + 4, "right"), len(ends) - 1)
-        same = doc[first] == doc[last]
-        spans += [(int(starts[a]), int(ends[b])) for a, b in zip(first[same], last[same], strict=True)]
-        spans.sort()
-        merged: list[list[int]] = []
-        for a, b in spans:
-            if merged and a < merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        pieces, data, where, k = [], raw.tobytes(), 0, 0
+        # overlapping spans are one
+        reach = np.maximum.accumulate(spans[:, 1])
+        opens = np.flatnonzero(np.concatenate(([True], spans[1:, 0] >= reach[:-1])))
+        closes = reach[np.concatenate((opens[1:], [len(spans)])) - 1]
+        data, changed = raw.tobytes(), []
+        for a, b in zip(spans[opens, 0].tolist(), closes.tolist(), strict=True):
+            token = data[a:b]
+            meant = self.word(token)
+            if meant != token:
+                changed.append((a, b, meant))
+        pieces, k = [], 0
         for i in range(len(texts)):
             end, parts, where = int(at[i + 1]), [], int(at[i])
-            while k < len(merged) and merged[k][0] < end:
-                a, b = merged[k]
-                parts += [data[where:a], self.word(data[a:b].decode("utf-8", "replace")).encode()]
+            while k < len(changed) and changed[k][0] < end:
+                a, b, meant = changed[k]
+                parts += [data[where:a], meant]
                 where, k = b, k + 1
             parts.append(data[where:end])
             pieces.append(b"".join(parts))
