@@ -28,19 +28,22 @@ def backfill_requests(
     regions: DataFrame,
     today: str,
     days: int = 7,
-    per_region: int = 2,
+    per_region: int | None = None,
     seed: int = 42,
     hasher: hashing.Hasher = hashing.mixed,
 ) -> DataFrame:
-    """Backdated requests: each day scores the next ``per_region`` active players of every market.
+    """Backdated requests of all active players, spread over the days by a hash of their ids.
 
+    With ``per_region`` each day scores only the next so many players of every market, lowest ids first.
     ``ref_ts`` lies on the request's day, shifted back by a reproducible 0..20 h and 0..59 min.
     """
     active = players.filter("is_active").join(regions.select("region_id", "region_code"), "region_id")
-    pool = top_per_group(
-        active.select("player_id", "region_code"), ["region_code"], [F.col("player_id")], days * per_region, "nth"
-    )
-    slot = F.floor((F.col("nth") - 1) / F.lit(per_region)).cast("int")
+    pool = active.select("player_id", "region_code")
+    if per_region is None:
+        slot = (hasher([F.col("player_id")], seed + 2) % days).cast("int")
+    else:
+        pool = top_per_group(pool, ["region_code"], [F.col("player_id")], days * per_region, "nth")
+        slot = F.floor((F.col("nth") - 1) / F.lit(per_region)).cast("int")
     back = F.make_dt_interval(
         (F.lit(days) - slot).cast("int"),
         (hasher([F.col("player_id")], seed) % 21).cast("int"),

@@ -16,15 +16,15 @@ from recloom.sources.star import ROUNDS_AS_OF, Star
 DAYS, PER_REGION = 7, 2
 
 
-def backfill_requests(star: Star) -> DataFrame:
+def backfill_requests(star: Star, per_region: int | None = PER_REGION) -> DataFrame:
     return monitor.backfill_requests(
-        star.players, star.regions, ROUNDS_AS_OF, DAYS, PER_REGION, hasher=hashing.portable
+        star.players, star.regions, ROUNDS_AS_OF, DAYS, per_region, hasher=hashing.portable
     )
 
 
 @shareable
-def backfilled(star: Star) -> DataFrame:
-    requests = backfill_requests(star)
+def backfilled(star: Star, per_region: int | None = PER_REGION) -> DataFrame:
+    requests = backfill_requests(star, per_region)
     recent = monitor.recent_before(requests, star.rounds, star.items, star.categories)
     return monitor.backfill_log(requests, context(star), expression_scorer(LINEAR), recent)
 
@@ -50,6 +50,47 @@ WITH pool AS (
 )
 """
 
+# The same over all active players, each on one day.
+BACKFILL_ALL = f"""
+WITH pool AS (
+  SELECT player_id, region_code, CAST({hashing.portable_sql(["player_id"], 44)} % {DAYS} AS INTEGER) AS slot
+  FROM players JOIN regions USING (region_id) WHERE players.is_active
+), backdated AS (
+  SELECT player_id || '@' || slot AS request_id, player_id, region_code, slot,
+         TIMESTAMP '{ROUNDS_AS_OF}' - to_days(CAST({DAYS} - slot AS INTEGER))
+           - to_hours({hashing.portable_sql(["player_id"], 42)} % 21) - to_minutes({hashing.portable_sql(["player_id"], 43)} % 60) AS ref_ts
+  FROM pool
+""" + BACKFILL[BACKFILL.index("), recent AS (") :]
+
+LOG = [
+    "request_id", "game_title_id", "ref_ts", "region_code", "aff_for_category", "game_rounds_30d_norm",
+    "popularity_trend", "rtp_frac", "player_rounds_30d", "recent_cat_activity_norm", "score",
+]
+
+
+@query(
+    "mon1_backfill_log_all_players",
+    BACKFILL_ALL
+    + """SELECT request_id, game_title_id, ref_ts, region_code, aff_for_category,
+         coalesce(game_rounds_30d_norm, 0) AS game_rounds_30d_norm, popularity_trend, rtp_frac, player_rounds_30d,
+         recent_cat_activity_norm, score FROM logged""",
+)
+def mon1_all(star: Star) -> DataFrame:
+    return backfilled(star, None).select(*LOG)
+
+
+@query(
+    "mon2_baseline_all_players",
+    BACKFILL_ALL
+    + """SELECT request_id, game_title_id, region_code, score FROM logged
+         WHERE date_trunc('day', ref_ts) = (SELECT min(date_trunc('day', ref_ts)) FROM logged)""",
+)
+def mon2_all(star: Star) -> DataFrame:
+    log = backfilled(star, None).withColumn("event_ts", F.col("ref_ts"))
+    return monitor.baseline(log, ["player_id", "game_title_id"]).select(
+        "request_id", "game_title_id", "region_code", "score"
+    )
+
 
 @query(
     "mon1_backfill_log",
