@@ -1,0 +1,39 @@
+"""Places of rows in the order of their group, without a window over a whole group."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from recloom.sources.staging import stage
+
+
+def positions(df: DataFrame, group: str, order: list[str], name: str, total: str | None = None) -> DataFrame:
+    """``df`` with ``pos`` (0, 1, ... by ``order`` inside ``group``) and ``n`` (rows of the group).
+
+    Rows are sorted over range partitions, so a hot group lies in many of them; a table with one row per partition
+    and group gives the offsets. With ``total``, a whole-number column, ``before`` is its sum over the earlier rows
+    and ``total_n`` that of the group. ``group`` must not be null; rows that tie in ``order`` come in any order. The
+    sorted rows are written to the shared folder, so places stay the same whoever reads them.
+    """
+    ordered = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    ordered = stage(ordered.withColumn("at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("at", 33).alias("part")
+    measures = [F.min("at").alias("first"), F.count("*").alias("rows")]
+    measures += [F.sum(total).alias("amount")] if total else []
+    runs = ordered.groupBy(group, part).agg(*measures)
+    # a window over at most as many rows as there are partitions
+    along = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(group)
+    earlier = lambda c: F.coalesce(F.sum(c).over(along), F.lit(0))
+    columns = [(earlier("rows") - F.col("first")).alias("shift"), F.sum("rows").over(every).alias("n")]
+    if total:
+        columns += [earlier("amount").alias("before_part"), F.sum("amount").over(every).alias("total_n")]
+    offsets = stage(runs.select(group, "part", *columns), f"{name}-offsets")
+    placed = ordered.withColumn("part", part).join(offsets, [group, "part"])
+    kept = [*df.columns, (F.col("at") + F.col("shift")).alias("pos"), "n"]
+    if not total:
+        return placed.select(*kept)
+    inside = Window.partitionBy(group, "part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("before_part") + F.coalesce(F.sum(total).over(inside), F.lit(0))
+    return placed.select(*kept, before.alias("before"), "total_n")

@@ -10,7 +10,21 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recloom.llm import line_runs, metric_join, minhash_join, packing, permutation_index, pieces, pii, quality, secrets, toxicity
+from recloom.llm import (
+    line_runs,
+    merkle,
+    metric_join,
+    minhash_join,
+    packing,
+    permutation_index,
+    pieces,
+    pii,
+    quality,
+    resharding,
+    secrets,
+    toxicity,
+    twins,
+)
 from recloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +154,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids"
     )
+
+
+@query("op11_merkle_manifest", twins.manifest())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_flow_resharding", twins.reshard())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.reshard(table(spark, sf_dir, "documents"))
