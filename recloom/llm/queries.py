@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recloom.llm import (
+    alignment,
     line_runs,
     merkle,
     metric_join,
@@ -164,3 +165,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_flow_resharding", twins.reshard())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.reshard(table(spark, sf_dir, "documents"))
+
+
+@query("op13_end_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))

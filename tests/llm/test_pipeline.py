@@ -69,6 +69,6 @@ def test_stage_order():
     ]
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_one_query_each(number):
     assert len([q for q in entry.queries() if re.match(rf"op{number}_", q)]) == 1
