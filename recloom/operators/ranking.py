@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recloom.functions import hashing
+from recloom.operators.positions import positions
 
 BUCKET_BITS = 16
 
@@ -81,11 +82,9 @@ def hash_rank(
 
 
 def number_rank(df: DataFrame, key: str, group: Sequence[str] = (), name: str = "rank") -> DataFrame:
-    """``bucketed_rank`` by a whole-number key that is unique inside its group."""
-    span = df.agg(F.min(key).alias("low"), F.max(key).alias("high"))
-    low, high = span.select("low").scalar(), span.select("high").scalar()
-    share = (F.col(key) - low).cast("double") / (high - low + 1).cast("double")
-    return bucketed_rank(df, [key], F.floor(share * (1 << BUCKET_BITS)), group, name=name)
+    """Add the exact 1-based rank by a key that is unique inside its group; however its values are spread."""
+    placed = positions(df, group, [key], "ranked").withColumn(name, F.col("pos") + 1)
+    return placed.select(*[c for c in df.columns if c != name], name)
 
 
 def hash_sample(
@@ -127,26 +126,16 @@ def dense_ids(df: DataFrame, keys: Sequence[str], start: Column, name: str) -> D
 def auc(scored: DataFrame, label: str, score: str) -> DataFrame:
     """Exact ROC AUC (Mann-Whitney with average ranks for ties) as a one-row frame.
 
-    Rows collapse to counts per distinct score, scores fall into 2^16 ordered buckets, and
-    each bucket is ranked alone. ``auc`` is NULL when a class is missing.
+    Rows collapse to counts per distinct score, which are put in order over range partitions: scores of any
+    size and spread will do. ``auc`` is NULL when a class is missing.
     """
     per_score = (
         scored.filter(F.col(score).isNotNull() & ~F.isnan(score) & F.col(label).isNotNull())
         .groupBy(F.col(score).alias("_s"))
         .agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg"))
-        .withColumn("_bucket", F.floor(F.least(F.greatest(F.col("_s"), F.lit(0.0)), F.lit(1.0)) * (1 << BUCKET_BITS)))
     )
-    along = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        per_score.groupBy(F.col("_bucket").alias("_b"))
-        .agg(F.sum("_neg").alias("_n"))
-        .select("_b", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_below"))
-    )
-    inside = Window.partitionBy("_bucket").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per_score.withColumn("_in", F.coalesce(F.sum("_neg").over(inside), F.lit(0))).join(
-        starts, F.col("_bucket") == F.col("_b")
-    )
-    wins = F.col("_pos").cast("decimal(19,0)") * (2 * (F.col("_below") + F.col("_in")) + F.col("_neg")).cast(
+    ranked = positions(per_score, [], ["_s"], "scores", total="_neg")
+    wins = F.col("_pos").cast("decimal(19,0)") * (2 * F.col("before") + F.col("_neg")).cast(
         "decimal(19,0)"
     )
     sums = ranked.agg(

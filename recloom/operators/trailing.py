@@ -53,6 +53,58 @@ def trailing(
         *[F.struct(F.lit(h).alias("_back"), _hours_back(F.col("_ref"), h).alias("_at")) for h in hours]
     )
 
+    asked = spine.filter(_known(keys, ref_ts)).select(*keys, F.col(ref_ts).alias("_ref")).distinct()
+    probes = asked.select(*keys, "_ref", F.explode(boundaries).alias("_edge")).select(*keys, "_ref", "_edge._back", "_edge._at")
+    upto = _up_to(probes, events, keys, event_ts, measures)
+    parts = []
+    for suffix, back in windows.items():
+        for n in names:
+            total = F.col(n) + F.col(f"_c_{n}")
+            signed = F.when(F.col("_back") == 0, total).when(F.col("_back") == back, -total)
+            parts.append(F.sum(signed).alias(f"{n}_{suffix}"))
+    sums = upto.groupBy(*keys, F.col("_ref").alias(ref_ts)).agg(*parts)
+    added = {a: t for a, t in sums.dtypes if a not in (*keys, ref_ts)}
+    return spine.join(sums, [*keys, ref_ts], "left").select(
+        *spine.columns, *[F.coalesce(a, F.lit(0).cast(t)).alias(a) for a, t in added.items()]
+    )
+
+
+def running(
+    spine: DataFrame,
+    events: DataFrame,
+    keys: Sequence[str],
+    ref_ts: str,
+    event_ts: str,
+    edges: Mapping[str, Column],
+    measures: Mapping[str, Column],
+) -> DataFrame:
+    """Sums of ``measures`` over all events of the key before an instant, for every spine row and edge.
+
+    ``edges`` maps a suffix to an instant that depends on ``ref_ts`` only; ``{"now": F.col("ref_ts")}`` and
+    ``{"n": F.lit(1)}`` add ``n_now``. Whatever is a difference of such sums needs no interval join: any calendar
+    window, and linear weights by way of the sums of a count and of a time. An event at the instant itself does
+    not count. Spine rows without events, or without a key, get 0.
+    """
+    names = list(measures)
+    marks = F.array(*[F.struct(F.lit(e).alias("_back"), at.alias("_at")) for e, at in edges.items()])
+    asked = spine.filter(_known(keys, ref_ts)).select(*keys, F.col(ref_ts)).distinct()
+    probes = asked.select(*keys, F.col(ref_ts).alias("_ref"), F.explode(marks).alias("_edge"))
+    upto = _up_to(probes.select(*keys, "_ref", "_edge._back", "_edge._at"), events, keys, event_ts, measures)
+    parts = [
+        F.sum(F.when(F.col("_back") == e, F.col(n) + F.col(f"_c_{n}"))).alias(f"{n}_{e}") for e in edges for n in names
+    ]
+    sums = upto.groupBy(*keys, F.col("_ref").alias(ref_ts)).agg(*parts)
+    added = {a: t for a, t in sums.dtypes if a not in (*keys, ref_ts)}
+    return spine.join(sums, [*keys, ref_ts], "left").select(
+        *spine.columns, *[F.coalesce(a, F.lit(0).cast(t)).alias(a) for a, t in added.items()]
+    )
+
+
+def _up_to(
+    probes: DataFrame, events: DataFrame, keys: Sequence[str], event_ts: str, measures: Mapping[str, Column]
+) -> DataFrame:
+    """For probes (keys, _ref, _back, _at) the sums before ``_at``: inside its hour, and ``_c_...`` of earlier hours."""
+    names = list(measures)
     # Events at the same instant collapse before anything else is shuffled.
     instants = (
         events.filter(_known(keys, event_ts))
@@ -63,14 +115,10 @@ def trailing(
     )
     types = dict(instants.dtypes)
     zero = {n: F.lit(0).cast(types[n]) for n in names}
-    asked = spine.filter(_known(keys, ref_ts)).select(*keys, F.col(ref_ts).alias("_ref")).distinct()
-    probes = (
-        asked.select(*keys, "_ref", F.explode(boundaries).alias("_edge"))
-        .select(*keys, "_ref", "_edge._back", "_edge._at", *[zero[n].alias(n) for n in names])
-        .withColumn("_hour", hour_number(F.col("_at")))
-    )
+    probes = probes.select("*", *[zero[n].alias(n) for n in names]).withColumn("_hour", hour_number(F.col("_at")))
+    back = dict(probes.dtypes)["_back"]
     line = probes.unionByName(
-        instants.withColumns({"_ref": F.lit(None).cast(types["_at"]), "_back": F.lit(None).cast("int")})
+        instants.withColumns({"_ref": F.lit(None).cast(types["_at"]), "_back": F.lit(None).cast(back)})
     ).withColumn("_event", F.col("_back").isNull().cast("int"))
 
     # Probes sort ahead of events of the same instant, hence "strictly before".
@@ -84,19 +132,7 @@ def trailing(
     carried = hourly.select(
         *keys, "_hour", *[F.coalesce(F.sum(n).over(earlier), zero[n]).alias(f"_c_{n}") for n in names]
     )
-
-    upto = in_hour.join(carried, [*keys, "_hour"])
-    parts = []
-    for suffix, back in windows.items():
-        for n in names:
-            total = F.col(n) + F.col(f"_c_{n}")
-            signed = F.when(F.col("_back") == 0, total).when(F.col("_back") == back, -total)
-            parts.append(F.sum(signed).alias(f"{n}_{suffix}"))
-    sums = upto.groupBy(*keys, F.col("_ref").alias(ref_ts)).agg(*parts)
-    added = {a: t for a, t in sums.dtypes if a not in (*keys, ref_ts)}
-    return spine.join(sums, [*keys, ref_ts], "left").select(
-        *spine.columns, *[F.coalesce(a, F.lit(0).cast(t)).alias(a) for a, t in added.items()]
-    )
+    return in_hour.join(carried, [*keys, "_hour"])
 
 
 def as_of(

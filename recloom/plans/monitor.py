@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from recloom.functions import hashing
 from recloom.functions.scalars import before, instant
-from recloom.operators.bounds import fits_broadcast
 from recloom.operators.ranking import hash_sample, top_per_group
+from recloom.operators.selection import quantiles as quantiles_of
 from recloom.operators.trailing import trailing
 from recloom.plans import candidates, traces
 from recloom.plans.recommend import Context
@@ -158,13 +158,13 @@ def quantiles(
 
 
 def bin_edges(base: DataFrame, columns: Sequence[str], segment: str, bins: int = BINS) -> DataFrame:
-    """Inner bin edges per segment and column: the baseline's exact quantiles, from counts per distinct value."""
+    """Inner bin edges per segment and column: the baseline's exact quantiles."""
     inner = [i / bins for i in range(1, bins)]
     values = base.select(segment, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [segment], list(columns), "metric", "value"
     )
-    edges = values.groupBy(segment, "metric").agg(F.percentile("value", inner).alias("edges"))
-    return edges.select(segment, "metric", *[F.col("edges")[i].alias(f"edge_{i}") for i in range(bins - 1)])
+    edges = quantiles_of(values, "value", inner, [segment, "metric"])
+    return edges.select(segment, "metric", *[F.col("quantiles")[i].alias(f"edge_{i}") for i in range(bins - 1)])
 
 
 def histogram(
@@ -196,11 +196,27 @@ def drift(
     have no row.
     """
     edges = stage(bin_edges(base, columns, segment, bins), "edges")
-    if fits_broadcast(edges):
-        edges = F.broadcast(edges)
+    current = histogram(long_form(log, columns, segment, unit), edges, ["period", segment], segment, bins)
+    return drift_of_counts(current, base_histogram(base, edges, columns, segment, bins), segment, bins, epsilon)
+
+
+def base_histogram(
+    base: DataFrame, edges: DataFrame, columns: Sequence[str], segment: str, bins: int = BINS
+) -> DataFrame:
+    """The baseline counted into its own bins."""
     old = base.select(segment, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [segment], list(columns), "metric", "value"
     )
+    return histogram(old, edges, [segment], segment, bins)
+
+
+def drift_of_counts(
+    current: DataFrame, reference: DataFrame, segment: str, bins: int = BINS, epsilon: float = EPSILON
+) -> DataFrame:
+    """``drift`` from rows per bin (period, segment, metric, bin, rows) and those of the baseline.
+
+    Counts of the same bin add up, so they may come from any number of batches.
+    """
 
     def shares(counts: DataFrame, groups: Sequence[str], name: str) -> DataFrame:
         """An array of ``bins`` shares per group."""
@@ -215,11 +231,13 @@ def drift(
             F.array(*[F.col(f"_{b}").cast("double") / total for b in range(bins)]).alias(name),
         )
 
-    groups = ["period", segment, "metric"]
-    new_shares = shares(
-        histogram(long_form(log, columns, segment, unit), edges, ["period", segment], segment, bins), groups, "current"
-    )
-    old_shares = shares(histogram(old, edges, [segment], segment, bins), [segment, "metric"], "reference")
+    new_shares = shares(current, ["period", segment, "metric"], "current")
+    old_shares = shares(reference, [segment, "metric"], "reference")
+    return distances(new_shares.join(old_shares, [segment, "metric"]), segment, epsilon)
+
+
+def distances(shares: DataFrame, segment: str, epsilon: float = EPSILON) -> DataFrame:
+    """PSI and binned KS distance of arrays of shares, ``current`` against ``reference``."""
     floor = F.lit(epsilon)
 
     def term(pair):
@@ -232,7 +250,7 @@ def drift(
 
     pairs = F.arrays_zip("current", "reference")
     start = F.struct(F.lit(0.0).alias("gap"), F.lit(0.0).alias("ks"))
-    return new_shares.join(old_shares, [segment, "metric"]).select(
+    return shares.select(
         "period",
         segment,
         "metric",

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recloom.functions.scalars import fill_feature
+from recloom.operators.boosting import BoostedTrees
 from recloom.schemas import FEATURE_COLS
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -48,6 +49,13 @@ def model_scorer(model: PipelineModel | None) -> Scorer:
     return score
 
 
+def boosted_scorer(model: BoostedTrees | None) -> Scorer:
+    """The score and margin of boosted trees, as columns ``score`` and ``rank_score``."""
+    if model is None:
+        raise RankerUnavailable("no ranker given")
+    return lambda df: model.transform(fill_features(df))
+
+
 def expression_scorer(expression: str, margin: str | None = None) -> Scorer:
     """A fixed SQL expression over the filled features; for checks against other engines.
 

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from recloom.functions import hashing
 from recloom.functions.scalars import RECENCY_CAP, fill_feature, ratio, recency_norm
+from recloom.operators import boosting
 from recloom.operators.ranking import auc, hash_rank, hash_sample
+from recloom.operators.selection import quantiles
 from recloom.operators.trailing import trailing
 from recloom.plans.features import affinity_map, affinity_of
 from recloom.schemas import AFFINITY_COLUMNS, FEATURE_COLS
@@ -159,9 +161,9 @@ def ranker_dataset(
 
 
 def quantile_threshold(df: DataFrame, column: str, q: float) -> DataFrame:
-    """The linearly interpolated quantile as one row; equal values are counted before they meet."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.agg(F.percentile(column, q, F.col("_n")).alias("threshold"))
+    """The linearly interpolated quantile as one row, exact and without a sort in one task."""
+    found = quantiles(df, column, [q]).select(F.col("quantiles")[0].alias("threshold"))
+    return found.agg(F.max("threshold").alias("threshold"))
 
 
 def propensity_dataset(
@@ -200,6 +202,17 @@ def fit_ranker(train: DataFrame, monotone: bool = True, columns: Sequence[str] =
     return Pipeline(stages=[_assembler(columns), learner]).fit(train)
 
 
+def fit_boosted(
+    train: DataFrame,
+    columns: Sequence[str] = tuple(FEATURE_COLS),
+    key: Sequence[str] = ("row_id",),
+    rising: Sequence[str] = ("recent_cat_activity_norm",),
+    settings: boosting.Settings = boosting.Settings(),  # noqa: B008 (frozen)
+) -> boosting.BoostedTrees:
+    """Boosted trees that never score lower for a higher value of the ``rising`` features; ``key`` names a row."""
+    return boosting.fit(train, columns, key, monotone=dict.fromkeys(rising, 1), settings=settings)
+
+
 def fit_propensity(train: DataFrame, columns: Mapping[int, str] = AFFINITY_COLUMNS, **overrides) -> PipelineModel:
     learner = GBTClassifier(featuresCol="features", labelCol="label", seed=SEED, **{**TREES, **overrides})
     return Pipeline(stages=[_assembler([*columns.values(), *PROPENSITY_EXTRA]), learner]).fit(train)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recloom.functions.scalars import before
-from recloom.plans import candidates, features, rails, recent, recommend, traces
+from recloom.plans import candidates, exclusions, features, rails, recent, recommend, traces
 from recloom.plans.scoring import expression_scorer
 from recloom.queries.features import profile, rollup
 from recloom.queries.prelude import candidate_rows, normed_rows
@@ -281,3 +281,50 @@ def ag13(star: Star) -> DataFrame:
     return traces.exclusions_by_reason(run(star).decisions.withColumnRenamed("request_id", "trace_id")).withColumnRenamed(
         "trace_id", "request_id"
     )
+
+
+@query(
+    "ag13_exclusions_whole",
+    CANDIDATES + "SELECT request_id, excl_reason AS reason, count(*) AS items FROM candidates WHERE excl_reason IS NOT NULL GROUP BY ALL",
+)
+def ag13_whole(star: Star) -> DataFrame:
+    """All exclusions of every request by reason, counted from the bitmaps of its set of rules."""
+    named = exclusions.with_rule_set(run(star).requests)
+    items = exclusions.rule_items(context(star).market)
+    sets = stage(exclusions.rule_sets(named), "rule-sets")
+    counted = exclusions.counts(sets, stage(exclusions.rule_bitmaps(items), "rule-bitmaps"))
+    return named.select("request_id", "rule_set").join(counted, "rule_set").select("request_id", "reason", "items")
+
+
+@query(
+    "rc5_exclusions_whole",
+    CANDIDATES
+    + """SELECT request_id, excl_reason AS reason, count(*) AS items, min(game_title_id) AS first_id, max(game_title_id) AS last_id,
+           CAST(sum(game_title_id) AS BIGINT) AS id_sum FROM candidates WHERE excl_reason IS NOT NULL GROUP BY ALL""",
+)
+def rc5_whole(star: Star) -> DataFrame:
+    """The whole list of exclusions behind every trace: kept once per set of rules, told per request."""
+    named = exclusions.with_rule_set(run(star).requests)
+    sets = stage(exclusions.rule_sets(named), "rule-sets")
+    listed = exclusions.whole_list(sets, exclusions.rule_items(context(star).market))
+    ids = F.col("game_title_id")
+    told = listed.groupBy("rule_set", "reason").agg(
+        F.count(ids).alias("items"), F.min(ids).alias("first_id"), F.max(ids).alias("last_id"), F.sum(ids).alias("id_sum")
+    )
+    return named.select("request_id", "rule_set").join(told, "rule_set").drop("rule_set")
+
+
+@query(
+    "rc6_latest_of_several",
+    DECISIONS_SQL
+    + """SELECT q.player_id, v.recency, v.request_ts, d.candidate_set_size FROM resolved q LEFT JOIN decided d USING (request_id),
+           (VALUES (1, TIMESTAMP '2001-11-07 00:00:00'), (2, TIMESTAMP '2001-11-06 00:00:00')) v(recency, request_ts)""",
+)
+def rc6_several(star: Star) -> DataFrame:
+    """Three traces of every player, of which the latest two are told."""
+    done = run(star)
+    several = None
+    for day in ("2001-11-05", "2001-11-06", "2001-11-07"):
+        told = traces.traces(done.decisions, done.rails, done.model_version, f"{day} 00:00:00")
+        several = told if several is None else several.unionByName(told)
+    return traces.telemetry(several, star.players, 2).select("player_id", "recency", "request_ts", "candidate_set_size")

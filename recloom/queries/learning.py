@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recloom.functions import hashing
 from recloom.operators import ranking
-from recloom.plans import features, recommend, scoring, training
+from recloom.plans import features, point_in_time, recommend, scoring, training
 from recloom.queries.candidates import CANDIDATES, context, last_played, recent_rows
 from recloom.queries.features import rollup
 from recloom.queries.registry import query, shareable
@@ -64,6 +64,44 @@ DATASET = TRAINING + """, recency AS (
 """
 
 
+LEAK_FREE = TRAINING + """, known AS (
+  SELECT r.player_id, r.game_title_id, i.category_id, r.ts, r.round_date FROM rounds r JOIN items i USING (game_title_id)
+), moments AS (
+  SELECT DISTINCT player_id, ref_ts FROM spine
+), weights AS (
+  SELECT m.player_id, m.ref_ts, k.category_id,
+         sum(greatest(900, (180 - date_diff('day', k.round_date, m.ref_ts::DATE)) * 100)) AS w,
+         count(*) FILTER (k.ts >= m.ref_ts - INTERVAL 24 HOUR) AS plays
+  FROM moments m JOIN known k ON k.player_id = m.player_id AND k.ts < m.ref_ts GROUP BY ALL
+), totals AS (
+  SELECT player_id, ref_ts, sum(w) AS w FROM weights GROUP BY ALL
+), active AS (
+  SELECT m.player_id, m.ref_ts, count(*) AS n FROM moments m JOIN rounds r
+    ON r.player_id = m.player_id AND r.ts < m.ref_ts AND r.ts >= m.ref_ts - INTERVAL 30 DAY GROUP BY ALL
+), per_day AS (
+  SELECT game_title_id, round_date, count(*) AS n FROM known GROUP BY ALL
+), popular AS (
+  SELECT d.day, p.game_title_id, sum(CASE WHEN p.round_date >= d.day - 30 THEN n ELSE 0 END) AS now,
+         sum(CASE WHEN p.round_date < d.day - 30 THEN n ELSE 0 END) AS ago
+  FROM (SELECT DISTINCT ref_ts::DATE AS day FROM spine) d JOIN per_day p ON p.round_date < d.day AND p.round_date >= d.day - 60
+  GROUP BY ALL
+), tops AS (
+  SELECT day, max(now) AS most FROM popular GROUP BY day
+)
+SELECT s.player_id, s.positive_id, s.game_title_id, s.label, coalesce(CAST(w.w AS DOUBLE) / CAST(t.w AS DOUBLE), 0) AS aff_for_category,
+       CAST(coalesce(p.now, 0) AS DOUBLE) / greatest(coalesce(o.most, 0), 1) AS game_rounds_30d_norm,
+       CAST(coalesce(p.now, 0) AS DOUBLE) / (coalesce(p.ago, 0) + 1) AS popularity_trend,
+       CAST(i.return_to_player_pct AS DOUBLE) / 100 AS rtp_frac, CAST(coalesce(a.n, 0) AS DOUBLE) AS player_rounds_30d,
+       least(coalesce(w.plays, 0), 10) / 10.0::DOUBLE AS recent_cat_activity_norm
+FROM spine s JOIN items i ON i.game_title_id = s.game_title_id
+LEFT JOIN weights w ON w.player_id = s.player_id AND w.ref_ts = s.ref_ts AND w.category_id = s.category_id
+LEFT JOIN totals t ON t.player_id = s.player_id AND t.ref_ts = s.ref_ts
+LEFT JOIN active a ON a.player_id = s.player_id AND a.ref_ts = s.ref_ts
+LEFT JOIN popular p ON p.day = s.ref_ts::DATE AND p.game_title_id = s.game_title_id
+LEFT JOIN tops o ON o.day = s.ref_ts::DATE
+"""
+
+
 def played(star: Star) -> DataFrame:
     return features.interactions(rollup(star), star.items)
 
@@ -138,6 +176,14 @@ def tr5(star: Star) -> DataFrame:
     return dataset(star).drop("row_id", "category_id", "ref_ts")
 
 
+@query("tr5_leak_free_dataset", LEAK_FREE)
+def tr5_leak_free(star: Star) -> DataFrame:
+    """Affinity, popularity and activity of each row as they stood before its time."""
+    known = stage(played(star), "interactions")
+    rows = point_in_time.leak_free_dataset(known, star.items, star.rounds, AFFINITY, hasher=hashing.portable)
+    return rows.drop("row_id", "category_id", "ref_ts")
+
+
 @query(
     "tr6_feature_vector",
     DATASET
@@ -193,6 +239,31 @@ def tr8(star: Star) -> DataFrame:
     return table.withColumn("intercept", F.lit(float(learner.intercept)))
 
 
+@query("tr8_boosted_ranker")
+def tr8_boosted(star: Star) -> DataFrame:
+    """Monotone boosted trees next to the logistic ranker: held-out AUC, importances, and for how many held-out rows
+    the score falls as recency rises from none to all (none may)."""
+    logistic, rows = trained(star)
+    model = training.fit_boosted(rows.filter("NOT is_test"))
+    held_out = rows.filter("is_test")
+    out = None
+    for name, scored in (
+        ("boosted", model.transform(held_out)),
+        ("logistic", training.predict(logistic, held_out, ["label"])),
+    ):
+        told = training.evaluate(scored).select(
+            F.lit(name).alias("model"), F.lit("test_auc").alias("measure"), F.col("test_auc").alias("value")
+        )
+        out = told if out is None else out.unionByName(told)
+    recency = "recent_cat_activity_norm"
+    low, high = (model.transform(held_out.withColumn(recency, F.lit(x))) for x in (0.0, 1.0))
+    both = low.select("row_id", F.col("rank_score").alias("low")).join(high.select("row_id", F.col("rank_score").alias("high")), "row_id")
+    falls = both.agg(F.count_if(F.col("high") < F.col("low")).cast("double").alias("value"))
+    out = out.unionByName(falls.select(F.lit("boosted").alias("model"), F.lit("rows_that_fall").alias("measure"), "value"))
+    shares = [("boosted", f"importance_{c}", v) for c, v in model.importance().items()]
+    return out.unionByName(rows.sparkSession.createDataFrame(shares, "model STRING, measure STRING, value DOUBLE"))
+
+
 @query(
     "tr9_propensity_dataset",
     """SELECT player_id, aff_economy, aff_large, aff_medium, aff_promo, aff_small, aff_standard,

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recloom.functions import hashing
-from recloom.plans import monitor
+from recloom.plans import monitor, sketches
 from recloom.plans.scoring import expression_scorer
 from recloom.queries.candidates import LINEAR, LINEAR_SQL, context
 from recloom.queries.prelude import candidate_rows, normed_rows
 from recloom.queries.registry import query, shareable
+from recloom.session import scratch_path
+from recloom.sources.staging import stage
 from recloom.sources.star import ROUNDS_AS_OF, Star
+from recloom.streaming import monitoring as stream_monitoring
 
 DAYS, PER_REGION = 7, 2
 
@@ -227,3 +230,112 @@ def mon5(star: Star) -> DataFrame:
 )
 def mon5_ks(star: Star) -> DataFrame:
     return drift(star).select("period", "region_code", "metric", F.round("ks", 6).alias("ks"))
+
+
+# The monitors over the inference log itself: all active players, the six features and the score.
+LOG_LONG = BACKFILL_ALL + """, long AS (
+  SELECT date_trunc('day', ref_ts) AS period, region_code, v.metric, v.value
+  FROM logged, LATERAL (VALUES ('aff_for_category', aff_for_category), ('game_rounds_30d_norm', coalesce(game_rounds_30d_norm, 0)),
+    ('popularity_trend', popularity_trend), ('rtp_frac', rtp_frac), ('player_rounds_30d', player_rounds_30d),
+    ('recent_cat_activity_norm', recent_cat_activity_norm), ('score', score)) v(metric, value)
+)
+"""
+LOG_DRIFT = LOG_LONG + HISTOGRAM[HISTOGRAM.index(", base AS (") :].replace(
+    "FROM long WHERE period < TIMESTAMP '1995-07-01 00:00:00'", "FROM long WHERE period = (SELECT min(period) FROM long)"
+)
+DRIFT_ROWS = """SELECT period, region_code, metric, any_value(total) AS rows, any_value(base_total) AS reference_rows,
+         round(sum((greatest(q, 1e-6) - greatest(p, 1e-6)) * ln(greatest(q, 1e-6) / greatest(p, 1e-6))), 6) AS psi,
+         round(max(abs(gap)), 6) AS ks
+       FROM (SELECT *, sum(q - p) OVER (PARTITION BY period, region_code, metric ORDER BY bin) AS gap FROM shares)
+       GROUP BY period, region_code, metric"""
+# A rank may be off by so many times the error that holds in 99 of 100 cases.
+SURE = 3
+
+
+@shareable
+def inference_log(star: Star) -> DataFrame:
+    return stage(monitor.log_rows(backfilled(star, None)), "inference-log")
+
+
+def kept_profiles(star: Star, log: DataFrame) -> DataFrame:
+    """Profiles of the log, stored in three batches and merged from there."""
+    root = scratch_path(star.spark, "profiles")
+    parts = F.pmod(F.xxhash64("row_id"), F.lit(3))
+    for k in range(3):
+        sketches.store(sketches.profile(log.filter(parts == k)), root, f"part-{k}")
+    return stage(sketches.merged(sketches.stored(star.spark, root)), "merged-profiles")
+
+
+def first_day(log: DataFrame) -> DataFrame:
+    return monitor.baseline(log, ["row_id"])
+
+
+@query(
+    "mon4_log_statistics",
+    LOG_LONG
+    + """SELECT period, region_code, metric, count(value) AS n, count(*) - count(value) AS nulls, min(value) AS low,
+         max(value) AS high, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation FROM long GROUP BY ALL""",
+)
+def mon4_log(star: Star) -> DataFrame:
+    told = sketches.statistics(kept_profiles(star, inference_log(star)))
+    return told.withColumnRenamed("segment", "region_code").withColumns({c: F.round(c, 6) for c in ("mean", "deviation")})
+
+
+@query(
+    "mon4_log_quantiles",
+    LOG_LONG
+    + "SELECT period, region_code, metric, count(value) AS n, TRUE AS p05_close, TRUE AS p50_close, TRUE AS p95_close FROM long GROUP BY ALL",
+)
+def mon4_log_quantiles(star: Star) -> DataFrame:
+    """Quantiles read from stored sketches, and whether their true ranks in the log are as close as stated."""
+    log, points = inference_log(star), {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    read = sketches.quantiles(kept_profiles(star, log), points).withColumnRenamed("segment", "region_code")
+    keys, error = ["period", "region_code", "metric"], SURE * sketches.rank_error()
+    both = monitor.long_form(log, monitor.MONITORED, "region_code", "day").join(read, keys)
+    below = {c: F.count_if(F.col("value") < F.col(c)) / F.count("value") for c in points}
+    upto = {c: F.count_if(F.col("value") <= F.col(c)) / F.count("value") for c in points}
+    close = [((below[c] - error <= q) & (upto[c] + error >= q)).alias(f"{c}_close") for c, q in points.items()]
+    return both.groupBy(*keys).agg(F.max("n").alias("n"), *close)
+
+
+@query("mon5_log_drift", LOG_DRIFT + DRIFT_ROWS)
+def mon5_log(star: Star) -> DataFrame:
+    """The log against its first day, by exact edges and counts."""
+    log = inference_log(star)
+    return monitor.drift(log, first_day(log)).withColumns({c: F.round(c, 6) for c in ("psi", "ks")})
+
+
+@query(
+    "mon5_log_sketch_drift",
+    LOG_DRIFT
+    + "SELECT period, region_code, metric, any_value(total) AS rows, any_value(base_total) AS reference_rows, TRUE AS ks_close FROM shares GROUP BY ALL",
+)
+def mon5_log_sketches(star: Star) -> DataFrame:
+    """Drift from stored sketches alone, and whether it is as close as stated to counting the log in the same bins."""
+    log = inference_log(star)
+    base = stage(sketches.profile(first_day(log)), "baseline-profile")
+    read = sketches.drift(kept_profiles(star, log), base).withColumnRenamed("segment", "region_code")
+    marks = sketches.edges(base).select(
+        F.col("segment").alias("region_code"), "metric", *[F.col("edges")[i].alias(f"edge_{i}") for i in range(monitor.BINS - 1)]
+    )
+    marks = stage(marks, "sketched-edges")
+    long = monitor.long_form(log, monitor.MONITORED, "region_code", "day")
+    counts = monitor.histogram(long, marks, ["period", "region_code"], "region_code")
+    exact = monitor.drift_of_counts(counts, monitor.base_histogram(first_day(log), marks, monitor.MONITORED, "region_code"), "region_code")
+    keys = ["period", "region_code", "metric"]
+    both = read.join(exact.select(*keys, F.col("ks").alias("counted")), keys)
+    close = F.abs(F.col("ks") - F.col("counted")) <= 2 * (SURE * sketches.rank_error() + 1 / sketches.GRID)
+    return both.select(*keys, "rows", "reference_rows", close.alias("ks_close"))
+
+
+@query("mon6_streaming_drift", LOG_DRIFT + DRIFT_ROWS)
+def mon6_drift(star: Star) -> DataFrame:
+    """The log streamed in several batches against the stored baseline; days are reported once they are over."""
+    log, root = inference_log(star), scratch_path(star.spark, "monitor")
+    stream_monitoring.store_baseline(first_day(log), root)
+    path = f"{root}/log"
+    log.repartition(4, "row_id").write.parquet(path)
+    stream = star.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    stream_monitoring.start_monitoring(stream, root, f"{root}/state").awaitTermination()
+    told = stream_monitoring.closed_drift(star.spark, root, ROUNDS_AS_OF)
+    return told.withColumnRenamed("segment", "region_code").withColumns({c: F.round(c, 6) for c in ("psi", "ks")})
