@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recloom.llm.positions import positions
+from recloom.operators.positions import positions
 from recloom.sources.staging import stage
 
 FANOUT, EVERY = 16, 2
@@ -153,9 +153,9 @@ def build(leaves: DataFrame, order: list[str]) -> Manifest:
     Rows that repeat are leaves of their own; rows that tie in ``order`` come by their digests. No leaves give no
     root. Other columns are carried along to the proofs; they must not be named like ``tree, digest, pos, n``.
     """
-    groups = grow(positions(leaves, "tree", [*order, "digest"], "leaves"))
+    groups = grow(positions(leaves, ["tree"], [*order, "digest"], "leaves"))
     subroots = groups.roots().select(F.lit("").alias("tree"), F.col("tree").alias("own_tree"), "digest")
-    top = grow(positions(subroots, "tree", ["own_tree"], "subroots"))
+    top = grow(positions(subroots, ["tree"], ["own_tree"], "subroots"))
     root = top.roots().first()
     return Manifest(groups, top, root["digest"] if root else None)
 

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recloom.llm.positions import positions
+from recloom.operators.positions import positions
 from recloom.sources.staging import stage
 
-OLD_SHARDS, NEW_SHARDS = 12, 16
+OLD_SHARDS, NEW_SHARDS, ROUNDS = 12, 16, 2
 SMALL_LAST, MIXED = ("less", "text_crc32", "doc_id"), ("text_crc32", "doc_id")
 
 
@@ -143,7 +143,7 @@ def place(
     minus the size) the ends of blocks fall on small rows; by ``MIXED`` every block has rows of all sizes. In both,
     equal texts lie together.
     """
-    laid = positions(rows, "shard", [*order], "shard-rows", total="size")
+    laid = positions(rows, ["shard"], [*order], "shard-rows", total="size")
     # one row per old shard
     sizes = {r["shard"]: r["size"] for r in rows.groupBy("shard").agg(F.sum("size").alias("size")).collect()}
     blocks = transfers(sizes, capacities(sum(sizes.values())), **costs)
@@ -174,7 +174,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def reshard(
-    docs: DataFrame, old_shards: int = OLD_SHARDS, shards: int = NEW_SHARDS, rounds: int = 2, **costs
+    docs: DataFrame, old_shards: int = OLD_SHARDS, shards: int = NEW_SHARDS, rounds: int = ROUNDS, **costs
 ) -> DataFrame:
     """All ``docs`` in shards of near equal bytes: doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard.
 

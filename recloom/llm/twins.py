@@ -107,14 +107,18 @@ def _round(k: int, rows: str, order: str) -> str:
 
 def reshard() -> str:
     data = "encode(coalesce(text, ''))"
+    parts, rows = [], "sharded"
+    for k in range(1, resharding.ROUNDS + 1):
+        order = "size DESC, text_crc32, doc_id" if k == resharding.ROUNDS else "text_crc32, doc_id"
+        parts.append(_round(k, rows, order))
+        rows = f"after{k}"
+        parts.append(f"{rows} AS (SELECT doc_id, size, text_crc32, old_shard, new_shard AS shard FROM placed{k})")
     return f"""
     WITH sized AS MATERIALIZED (
       SELECT doc_id, octet_length({data}) + 1 AS size, coalesce({crc32_of(data)}, 0) AS text_crc32 FROM documents),
     sharded AS (
       SELECT *, text_crc32 % {resharding.OLD_SHARDS} AS old_shard, text_crc32 % {resharding.OLD_SHARDS} AS shard FROM sized),
-    {_round(1, "sharded", "text_crc32, doc_id")},
-    again AS (SELECT doc_id, size, text_crc32, old_shard, new_shard AS shard FROM placed1),
-    {_round(2, "again", "size DESC, text_crc32, doc_id")}
+    {", ".join(parts)}
     SELECT doc_id, size, text_crc32, 'bytes' AS law, new_shard AS shard,
       row_number() OVER (PARTITION BY new_shard ORDER BY shard, pos) - 1 AS slot, NULL::INTEGER AS grown_shard, old_shard
-    FROM placed2"""
+    FROM placed{resharding.ROUNDS}"""
