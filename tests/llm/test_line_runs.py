@@ -20,14 +20,13 @@ def plain_units(text):
     return out
 
 
-def plain(rows):
-    """Units that stay, by line; runs of any length are looked for at all earlier places."""
+def plain_gone(rows):
+    """Per document its units and the numbers of those to go; runs of any length are looked for at all earlier places."""
     docs = [plain_units(t) for _, t in sorted(rows)]
     places = {}
     for d, units in enumerate(docs):
         for i in range(len(units)):
             places.setdefault(units[i][1], []).append((d, i))
-    out = []
     for d, units in enumerate(docs):
         gone = set()
         for i in range(len(units)):
@@ -41,6 +40,13 @@ def plain(rows):
                     n += 1
                 if n >= 2 or n == 1 and len(units[i][1].split()) > LONG:
                     gone |= set(range(i, i + n))
+        yield units, gone
+
+
+def plain(rows):
+    """Units that stay, by line."""
+    out = []
+    for units, gone in plain_gone(rows):
         kept = {}
         for i, (line, x) in enumerate(units):
             if i not in gone:
@@ -49,6 +55,25 @@ def plain(rows):
     return out
 
 
+def plain_texts(rows):
+    """(doc_id, text) without the units to go; line ends go with a line of which nothing stays."""
+    out = []
+    for (i, text), (units, gone) in zip(sorted(rows), plain_gone(rows), strict=True):
+        begins, at = [], 0
+        for _, unit in units:
+            begins.append(text.index(unit, at))
+            at = begins[-1] + len(unit)
+        cut = set()
+        for k in gone:
+            line = units[k][0]
+            last = k + 1 == len(units) or units[k + 1][0] != line
+            whole = all(j in gone for j, (other, _) in enumerate(units) if other == line)
+            follow = begins[k + 1] if k + 1 < len(units) else len(text)
+            cut |= set(range(begins[k], begins[k] + len(units[k][1]) if last and not whole else follow))
+        out.append((i, "".join(c for k, c in enumerate(text) if k not in cut)))
+    return out
+
+
 def run(spark, rows):
     frame = spark.createDataFrame([(i, t, "x", "old") for i, t in rows], SCHEMA)
     return sorted((r.doc_id, r.text, r.lines_removed, r.chars_removed) for r in dedup_runs(frame).collect())
