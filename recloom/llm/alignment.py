@@ -2,7 +2,8 @@
 
 The cumulative byte ends of both id lists become dictionaries from end to index; the hash sets of their keys are
 intersected, and the sorted common ends slice both lists into groups. The pairs of a slice whose byte ranges end
-together (its last tokens, as no token is empty) are its links.
+together (its last tokens, as no token is empty) are its links. Both vocabularies begin anew at single spaces, so
+this is done once for each distinct word between such spaces, and texts are put together from their words.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from recloom.llm import text as tx
 from recloom.sources.staging import stage
 
-PART = 1 << 18  # characters; longer texts are cut at single spaces, where both vocabularies begin a new word
+REMEMBERED = 400_000  # words whose alignment a task keeps
 HOT_PAIRS = 1_000_000  # id pairs whose counts every task holds (17 bytes each); rarer ones are joined
 MERGED = 4_000_000  # pairs counted in a task before equal ones are merged
 MARK = "▁"
@@ -111,20 +113,110 @@ def _loaded(kind: type, path: str):
 
 @dataclass
 class Aligned:
-    """Both id lists of some texts, laid end to end, and the slices: ``slice_of`` names the text of each slice,
-    ``a_end`` and ``b_end`` where it ends in either list; ``n_a`` and ``n_b`` are tokens by text."""
+    """Some texts as words, and the words' alignments laid end to end.
 
-    a: np.ndarray
-    b: np.ndarray
-    n_a: np.ndarray
-    n_b: np.ndarray
-    slice_of: np.ndarray
-    a_end: np.ndarray
-    b_end: np.ndarray
+    ``codes`` and ``of`` are the word and the text of each place. Word ``w`` has tokens ``a[a_at[w] :][: a_n[w]]``, the
+    same of B, and slices ``s_at[w] :][: s_n[w]]``, which end at ``a_end`` and ``b_end`` in the word's own tokens.
+    """
 
-    def pairs(self) -> np.ndarray:
-        """The links, one a slice: the id of A above that of B, in 64 bits."""
-        return self.a[self.a_end - 1] << 32 | self.b[self.b_end - 1]
+    texts: int
+    codes: np.ndarray
+    of: np.ndarray
+    words: Words
+
+    def total(self, per_word: np.ndarray) -> np.ndarray:
+        """Sums by text."""
+        return np.bincount(self.of, per_word[self.codes], self.texts).astype(np.int64)
+
+    def spread(self, at: np.ndarray, n: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The places in a pool of all that the words have there, word after word."""
+        reach = np.cumsum(n[codes])
+        return np.repeat(at[codes] - (reach - n[codes]), n[codes]) + np.arange(reach[-1] if len(reach) else 0)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, id pair (that of A above that of B, in 64 bits) and number of its links, sorted."""
+        w = self.words
+        keys, times = np.unique(self.of << 32 | self.codes, return_counts=True)
+        codes = keys & 0xFFFFFFFF
+        own, pairs = np.repeat(keys >> 32, w.s_n[codes]), w.pair[self.spread(w.s_at, w.s_n, codes)]
+        weight = np.repeat(times, w.s_n[codes])
+        order = np.lexsort((pairs, own))
+        own, pairs, weight = own[order], pairs[order], weight[order]
+        new = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]) | (own[1:] != own[:-1])))[: len(own)])
+        sums = np.concatenate(([0], np.cumsum(weight)))
+        return own[new], pairs[new], sums[np.concatenate((new[1:], [len(own)]))[: len(new)]] - sums[new]
+
+
+class Words:
+    """The alignments of the words met so far; a word is what stands between single spaces.
+
+    Both vocabularies begin anew at such a space, which they put before a word themselves: so the tokens, slices and
+    links of a text are those of its words in turn, and a word is tokenized and aligned once.
+    """
+
+    def __init__(self, sides: list):
+        self.sides = sides
+        self.width = [np.array([len(t) for t in side.tokens], np.int64) for side in sides]
+        # a decimal id with what follows it: the next id, the other list, the next group
+        self.marked = [f"{i}{mark}" for s, marks in zip(sides, (",|", ",;"), strict=True) for mark in marks for i in range(len(s.tokens))]
+        self.code: dict[str, int] = {}
+        self.told: list[str] = []
+        empty = np.zeros(0, np.int64)
+        self.a = self.b = self.a_at = self.a_n = self.b_at = self.b_n = empty
+        self.s_at = self.s_n = self.a_end = self.b_end = self.pair = empty
+        self.lost = np.zeros(0, bool)
+
+    def learn(self, words: list[str]) -> None:
+        """Tokenize and align new words, laid end to end."""
+        raw = [b" " + w.encode() for w in words]
+        lists, lost = [side.encode(words) for side in self.sides], np.zeros(len(words), bool)
+        for side, ids in zip(self.sides, lists, strict=True):
+            get = side.tokens.__getitem__
+            lost |= np.array([b"".join(map(get, x)) != want for x, want in zip(ids, raw, strict=True)], bool)
+        # a lost word has no tokens; all others have as many bytes on both sides
+        lists = [[[] if bad else x for x, bad in zip(ids, lost.tolist(), strict=True)] for ids in lists]
+        sizes = [np.array([len(x) for x in ids], np.int64) for ids in lists]
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in zip(lists, sizes, strict=True))
+        ends_a, ends_b = (np.cumsum(w[ids]).tolist() for w, ids in zip(self.width, (a, b), strict=True))
+        index_a = dict(zip(ends_a, range(1, len(a) + 1), strict=True))
+        index_b = dict(zip(ends_b, range(1, len(b) + 1), strict=True))
+        common = sorted(index_a.keys() & index_b.keys())
+        a_end = np.fromiter(map(index_a.__getitem__, common), np.int64, len(common))
+        b_end = np.fromiter(map(index_b.__getitem__, common), np.int64, len(common))
+        a_from, b_from = (np.cumsum(n) - n for n in sizes)
+        of = np.searchsorted(np.cumsum(sizes[0]), a_end, "left")
+        told = self._tell(a, b, a_end, b_end, sizes)
+        self.code.update(zip(words, range(len(self.told), len(self.told) + len(words)), strict=True))
+        self.told += told
+        slices = np.bincount(of, minlength=len(words))
+        for name, at, pool, n in (
+            ("a_n", "a_at", self.a, sizes[0]), ("b_n", "b_at", self.b, sizes[1]), ("s_n", "s_at", self.pair, slices)
+        ):
+            self._add(at, len(pool) + np.cumsum(n) - n)
+            self._add(name, n)
+        self._add("a", a)
+        self._add("b", b)
+        self._add("a_end", a_end - a_from[of])
+        self._add("b_end", b_end - b_from[of])
+        self._add("pair", a[a_end - 1] << 32 | b[b_end - 1])
+        self._add("lost", lost)
+
+    def _add(self, name: str, more: np.ndarray) -> None:
+        setattr(self, name, np.concatenate((getattr(self, name), more)))
+
+    def _tell(self, a, b, a_end, b_end, sizes) -> list[str]:
+        """The groups of each word as text: of every slice the ids of A, then those of B."""
+        zero = np.zeros(1, np.int64)
+        begin_a, begin_b = (np.concatenate((zero, e))[:-1] for e in (a_end, b_end))
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[a_end - 1] = last_b[b_end - 1] = True
+        count, wide = len(self.sides[0].tokens), len(self.sides[1].tokens)
+        code = np.zeros(len(a) + len(b), np.int64)
+        code[np.arange(len(a)) + np.repeat(begin_b, a_end - begin_a)] = a + np.where(last_a, count, 0)
+        code[np.arange(len(b)) + np.repeat(a_end, b_end - begin_b)] = b + np.where(last_b, wide, 0) + 2 * count
+        parts = list(map(self.marked.__getitem__, code.tolist()))
+        stops = np.cumsum(sizes[0] + sizes[1]).tolist()
+        return ["".join(parts[x:y])[:-1] for x, y in zip([0, *stops], stops, strict=False)]
 
 
 class Aligner:
@@ -135,88 +227,35 @@ class Aligner:
         for side in self.sides:
             if not all(side.tokens):
                 raise ValueError("tokens without bytes cannot be aligned")
-        self.width = [np.array([len(t) for t in side.tokens], np.int64) for side in self.sides]
-        # a decimal id and what follows it: the next id, the other list, the next group
-        self.told = [[[f"{i}{mark}" for i in range(len(s.tokens))] for mark in ",|;"] for s in self.sides]
+        self.words = Words(self.sides)
 
     def align(self, texts: list[str]) -> Aligned:
         """Texts that are empty, or whose tokens do not give space and text back, have no tokens."""
-        parts, of = [], []
-        for k, t in enumerate(texts):
-            mine = list(_parts(t)) if t else []
-            parts += mine
-            of += [k] * len(mine)
-        whole = [b" " + p.encode() for p in parts]
-        lists, lost = [], set()
-        for side in self.sides:
-            lists.append(side.encode(parts))
-            get = side.tokens.__getitem__
-            lost.update(k for k, ids, want in zip(of, lists[-1], whole, strict=True) if b"".join(map(get, ids)) != want)
-        flat, counts = [], []
-        for ids in lists:
-            kept = [x for k, x in zip(of, ids, strict=True) if k not in lost]
-            own = np.array([k for k in of if k not in lost], np.int64)
-            sizes = np.array([len(x) for x in kept], np.int64)
-            counts.append(np.bincount(own, sizes, len(texts)).astype(np.int64))
-            flat.append(np.fromiter((i for x in kept for i in x), np.int64, int(sizes.sum())))
-        ends = [np.cumsum(w[ids]) for w, ids in zip(self.width, flat, strict=True)]
-        a_end, b_end = _common(*ends)
-        slice_of = np.searchsorted(np.cumsum(counts[0]), a_end, "left")
-        return Aligned(*flat, *counts, slice_of, a_end, b_end)
+        cut = [_CUT.split(t) if t else [] for t in texts]
+        if len(self.words.told) > REMEMBERED:
+            self.words = Words(self.sides)
+        new = set().union(*cut).difference(self.words.code)
+        if new:
+            self.words.learn(sorted(new))
+        counts = np.array([len(x) for x in cut], np.int64)
+        get = self.words.code.__getitem__
+        codes = np.fromiter(map(get, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        of = np.repeat(np.arange(len(texts)), counts)
+        lost = np.zeros(len(texts), bool)
+        lost[of[self.words.lost[codes]]] = True
+        kept = ~lost[of]
+        return Aligned(len(texts), codes[kept], of[kept], self.words)
 
     def digests(self, found: Aligned) -> list[str]:
         """Per text the sha256 of its groups (``a1,a2|b1;a3|b2,b3``); without tokens the empty string."""
-        last_a, last_b = np.zeros(len(found.a), bool), np.zeros(len(found.b), bool)
-        last_a[found.a_end - 1] = last_b[found.b_end - 1] = True
-        # every slice is its tokens of A, then those of B
-        begin_a = np.concatenate((np.zeros(1, np.int64), found.a_end))[:-1]
-        begin_b = np.concatenate((np.zeros(1, np.int64), found.b_end))[:-1]
-        size_a, size_b = found.a_end - begin_a, found.b_end - begin_b
-        place_a = np.arange(len(found.a)) + np.repeat(begin_b, size_a)
-        place_b = np.arange(len(found.b)) + np.repeat(found.a_end, size_b)
-        size = len(self.told[0][0]), len(self.told[1][0])
-        code = np.zeros(len(found.a) + len(found.b), np.int64)
-        code[place_a] = found.a + np.where(last_a, size[0], 0)
-        code[place_b] = found.b + np.where(last_b, size[1], 0) + 2 * size[0]
-        get = (self.told[0][0] + self.told[0][1] + self.told[1][0] + self.told[1][2]).__getitem__
-        stops, out, at = np.cumsum(found.n_a + found.n_b).tolist(), [], 0
-        for stop in stops:
-            told = "".join(map(get, code[at:stop].tolist()))[:-1]
+        get, out, at = self.words.told.__getitem__, [], 0
+        for stop in np.cumsum(np.bincount(found.of, minlength=found.texts)).tolist():
+            told = ";".join(map(get, found.codes[at:stop].tolist()))
             out.append(hashlib.sha256(told.encode()).hexdigest() if told else "")
             at = stop
         return out
 
 
-def _parts(text: str) -> Iterator[str]:
-    """The text cut before single spaces between other characters, which are left out: both sides put them back."""
-    at = 0
-    while len(text) - at > PART:
-        cut = _CUT.search(text, at + PART)
-        if cut is None:
-            break
-        yield text[at : cut.start()]
-        at = cut.end()
-    yield text[at:]
-
-
-def _common(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many tokens of each list end at or before each common end, in order.
-
-    The ends are looked at a range of bytes at a time, so that the dictionaries stay small.
-    """
-    out_a, out_b, at_a, at_b, low = [], [], 0, 0, 0
-    while at_a < len(ends_a):
-        low += 4 * PART
-        to_a, to_b = (int(np.searchsorted(x, low, "right")) for x in (ends_a, ends_b))
-        index_a = dict(zip(ends_a[at_a:to_a].tolist(), range(at_a + 1, to_a + 1), strict=True))
-        index_b = dict(zip(ends_b[at_b:to_b].tolist(), range(at_b + 1, to_b + 1), strict=True))
-        common = sorted(index_a.keys() & index_b.keys())
-        out_a += map(index_a.__getitem__, common)
-        out_b += map(index_b.__getitem__, common)
-        at_a, at_b = to_a, to_b
-    return np.array(out_a, np.int64), np.array(out_b, np.int64)
-
-
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     edges = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(edges), pa.array(values).cast(kind))
@@ -243,10 +282,16 @@ def align(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, x, _ in _by_chunk(batches, paths):
-            groups = np.bincount(x.slice_of, minlength=rows.num_rows)
-            before = [np.cumsum(n) - n for n in (x.n_a, x.n_b)]
-            ends = [e - p[x.slice_of] for e, p in zip((x.a_end, x.b_end), before, strict=True)]
-            lists = [(x.a, x.n_a), (x.b, x.n_b), (ends[0], groups), (ends[1], groups)]
+            w, lists = x.words, []
+            for pool, at, n in ((w.a, w.a_at, w.a_n), (w.b, w.b_at, w.b_n)):
+                lists.append((pool[x.spread(at, n, x.codes)], x.total(n)))
+            for pool, n in ((w.a_end, w.a_n), (w.b_end, w.b_n)):
+                # a slice ends so many tokens after the words before it in its text
+                before = np.cumsum(n[x.codes]) - n[x.codes]
+                total = x.total(n)
+                before -= (np.cumsum(total) - total)[x.of]
+                ends = pool[x.spread(w.s_at, w.s_n, x.codes)] + np.repeat(before, w.s_n[x.codes])
+                lists.append((ends, x.total(w.s_n)))
             columns = [_lists(v, n, pa.int32()) for v, n in lists]
             yield pa.RecordBatch.from_arrays([rows.column(0), *columns], ["doc_id", "a_ids", "b_ids", "a_ends", "b_ends"])
 
@@ -263,15 +308,11 @@ def linked(docs: DataFrame, vocabularies: tuple[str, str] | None = None) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, x, aligner in _by_chunk(batches, paths):
-            groups = np.bincount(x.slice_of, minlength=rows.num_rows).astype(np.int64)
-            pairs = x.pairs()
-            order = np.lexsort((pairs, x.slice_of))
-            pairs, own = pairs[order], x.slice_of[order]
-            new = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]) | (own[1:] != own[:-1])))[: len(own)])
-            times = np.diff(np.concatenate((new, [len(own)])))
-            distinct = np.bincount(own[new], minlength=rows.num_rows)
-            columns = [pa.array(v) for v in (x.n_a, x.n_b, groups, groups, aligner.digests(x))]
-            columns += [_lists(pairs[new], distinct, pa.int64()), _lists(times, distinct, pa.int32())]
+            own, pairs, times = x.links()
+            distinct = np.bincount(own, minlength=rows.num_rows)
+            groups = x.total(x.words.s_n)
+            columns = [pa.array(v) for v in (x.total(x.words.a_n), x.total(x.words.b_n), groups, groups, aligner.digests(x))]
+            columns += [_lists(pairs, distinct, pa.int64()), _lists(times, distinct, pa.int32())]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *columns], names)
 
     longs = ", ".join(f"{n} long" for n in names[:6])
@@ -365,8 +406,8 @@ def alignment(docs: DataFrame, vocabularies: tuple[str, str] | None = None, hot:
     """Digest of the alignment of every document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum,
     groups_sha256.
 
-    Texts as in ``align``: those without tokens have zeros and an empty digest. A text without any single space
-    between other characters is tokenized in one go, however long. Rows that repeat count as links of their own;
+    Texts as in ``align``: those without tokens have zeros and an empty digest. However long a text is, it is aligned
+    word by word; only a run without any single space between other characters is tokenized in one go. Rows that repeat count as links of their own;
     null ids are kept; other columns are ignored; an empty table gives an empty result.
     """
     named = docs.select(

@@ -92,20 +92,26 @@ def test_edge_rows(spark, models):
     assert alignment.alignment(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_long_texts_are_cut_without_a_trace(spark, models, monkeypatch):
+def test_words_give_the_same_as_whole_texts(spark, models, monkeypatch):
     random = np.random.default_rng(6)
-    words = ["word", "Ünï", "  ", "1234", "don't", "\n", "　x", " \t", "😀", "-", "▁", "it 's", "<s>"]
-    texts = [" ".join(random.choice(words, 4000)) for _ in range(6)]
-    monkeypatch.setattr(alignment, "PART", 50)
+    words = ["word", "Ünï", "  ", "1234", "don't", "\n", "　x", " \t", "😀", "-", "▁", "it 's", "<s>", "\x1c", "e\u0301", "\u0301"]
+    texts = [" ".join(random.choice(words, 4000)) for _ in range(8)]
+    texts += [t.replace("▁", "_") for t in texts]
     aligner = alignment.Aligner(alignment.default_vocabularies())
     for text in texts:
-        assert len(list(alignment._parts(text))) > 20 and " ".join(alignment._parts(text)) == text
         got, (a, _, b, _) = aligner.align([text]), plain_tokens(models, text)
-        if len(got.a):
-            assert got.a.tolist() == a and got.b.tolist() == b
-    assert sum(len(aligner.align([t]).a) > 0 for t in texts if "▁" not in t) == sum("▁" not in t for t in texts)
-    monkeypatch.undo()
-    check(spark, models, [(1, " ".join(random.choice(words[:2], 200_000))), (2, "a" + " " * 60_000 + "b")])
+        w = got.words
+        assert len(got.codes) > 1000 or "▁" in text
+        if len(got.codes):
+            assert w.a[got.spread(w.a_at, w.a_n, got.codes)].tolist() == a
+            assert w.b[got.spread(w.b_at, w.b_n, got.codes)].tolist() == b
+    long = [(1, " ".join(random.choice(words[:2], 200_000))), (2, "a" + " " * 60_000 + "b"), (3, texts[0]), (4, texts[-1])]
+    check(spark, models, long)
+    monkeypatch.setattr(alignment, "REMEMBERED", 10)  # words are forgotten between chunks
+    forgetful = alignment.Aligner(alignment.default_vocabularies())
+    for text in texts:
+        one, two = aligner.align([text, "and more"]), forgetful.align([text, "and more"])
+        assert aligner.digests(one) == forgetful.digests(two)
 
 
 def test_groups_give_the_text_back(spark, models):
