@@ -174,6 +174,23 @@ def st9_corrected(star: Star) -> DataFrame:
     return tiles.read_corrected(star.spark, path).select("event_id", "plays_24h")
 
 
+@query(
+    "st10_streamed_sketches",
+    """SELECT player_id, max(event_ts) AS last_activity_ts, count(DISTINCT game_title_id) AS distinct_items
+       FROM plays WHERE event_type = 'PLAY' AND game_title_id IS NOT NULL GROUP BY player_id""",
+)
+def st10_streamed(star: Star) -> DataFrame:
+    """Sketch tiles kept by a stream whose events come in no order, in several batches, merged when read."""
+    path = scratch_path(star.spark, "sketches")
+    star.source("events").repartition(6, F.xxhash64("event_id") % 97).write.parquet(f"{path}/events")
+    live = Star(star.spark, star.path)
+    source = stream_events.file_stream(star.spark, f"{path}/events", SOURCE_SCHEMAS["events"], files_per_trigger=2)
+    live.source = lambda name: source
+    finish(tiles.start_sketches(live.events, tiles.PLAYER, f"{path}/tiles", f"{path}/state"))
+    stored = tiles.stored_sketches(star.spark, f"{path}/tiles", tiles.PLAYER)
+    return tiles.read_sketches(stored, tiles.PLAYER).select("player_id", "last_activity_ts", "distinct_items")
+
+
 @query(
     "st10_last_activity_and_items",
     """SELECT player_id, max(event_ts) AS last_activity_ts, count(DISTINCT game_title_id) AS distinct_items
