@@ -8,7 +8,9 @@ its own documents. A source that runs out gives its share to the others, in prop
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
@@ -27,6 +29,7 @@ from recloom.session import scratch_path
 SEQUENCE = 2048
 MAX_QUEUES = 1024  # the largest sources have a queue each, all others share one
 REMEMBERED_WORDS = 600_000
+FRESH_WORDS = 60_000  # learnt words that are sorted apart, so that the many known ones are not moved for each batch
 BROADCAST_ROWS = 100_000  # of 20 bytes; a longer table of offsets is joined by a shuffle
 
 
@@ -37,6 +40,27 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@dataclass
+class _Places:
+    """Where the ids of words lie in a pool, by sorted word key; the first one has no word."""
+
+    keys: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A place for each key, and whether it is that of the key."""
+        place = np.searchsorted(self.keys[:-1], keys)
+        return place, self.keys[place] == keys
+
+    def joined(self, other: _Places) -> _Places:
+        every = np.concatenate((self.keys, other.keys))
+        order = np.argsort(every, kind="stable")
+        return _Places(
+            every[order], np.concatenate((self.at, other.at))[order], np.concatenate((self.size, other.size))[order]
+        )
+
+
 class WordEncoder:
     """Token ids of texts, word by word: white space is dropped by the tokenizer, so words encode alone.
 
@@ -54,30 +78,36 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.quick = _quick_letters(path, vocabulary)
         self._forget()
 
     def _forget(self) -> None:
         # one key to begin with, so that there is always a next one to look at
-        self.keys, self.pool = np.zeros(1, np.uint64), np.zeros(0, self.kind)
-        self.at, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.pool = np.zeros(0, self.kind)
+        self.known = _Places(np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64))
+        self.fresh = self.known  # words learnt lately, put to the others now and then
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, ``end`` after each text, and how many each text has."""
         starts, ends, doc, hashes = tx.words(texts)
         codes, distinct = pd.factorize(tx.mix(hashes ^ (ends - starts).astype(np.uint64)))
-        first = np.zeros(len(distinct), np.int64)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        if len(self.keys) + len(distinct) > REMEMBERED_WORDS:
+        if len(self.known.keys) + len(distinct) > REMEMBERED_WORDS:
             self._forget()
-        new = np.flatnonzero(self.keys[np.searchsorted(self.keys[:-1], distinct)] != distinct)
+        place, known = self.known.find(distinct)
+        late, lately = self.fresh.find(distinct)
+        new = np.flatnonzero(~(known | lately))
         if len(new):
+            first = np.zeros(len(distinct), np.int64)
+            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             raw = tx.LOWER[tx.flat(texts)[0]].tobytes()
             spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
             self._learn(distinct[new], [raw[a:b] for a, b in spans])
-        place = np.searchsorted(self.keys, distinct)[codes]
-        size = self.size[place]
+            place, known = self.known.find(distinct)
+            late, lately = self.fresh.find(distinct)
+        at = np.where(known, self.known.at[place], self.fresh.at[late])[codes]
+        size = np.where(known, self.known.size[place], self.fresh.size[late])[codes]
         reach = np.cumsum(size)
-        ids = self.pool[np.repeat(self.at[place] - (reach - size), size) + np.arange(reach[-1] if len(reach) else 0)]
+        ids = self.pool[np.repeat(at - (reach - size), size) + np.arange(reach[-1] if len(reach) else 0)]
         counts = np.bincount(doc, size, len(texts)).astype(np.int64) + 1
         out = np.full(len(ids) + len(texts), end, self.kind)
         inner = np.ones(len(out), bool)
@@ -95,6 +125,11 @@ class WordEncoder:
                 if stem and (97 <= stem[-1] <= 122 or stem.decode()[-1].isalpha()):
                     stems[i], marks[i] = stem, word[len(stem) :]
         wanted = {*stems, *marks} - {b""}
+        plain = [w for w in wanted if w.isalpha()] if self.quick else []  # of bytes: a to z alone
+        wanted.difference_update(plain)
+        if plain:
+            turned = b"".join([w[:-1] + w[-1:].upper() for w in plain]).decode()
+            self._cut(plain, np.array(self.quick.encode_ordinary(turned), self.kind), coded)
         letters = [w for w in wanted if w.decode().isalpha()]
         for at in range(0, len(letters), 2_000):
             self._code_letters(letters[at : at + 2_000], coded)
@@ -104,10 +139,10 @@ class WordEncoder:
         size = np.array([len(x) for x in parts], np.int64) // self.kind.itemsize
         at = len(self.pool) + np.cumsum(size) - size
         self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(parts), self.kind)))
-        every = np.concatenate((self.keys, keys))
-        order = np.argsort(every)
-        self.keys = every[order]
-        self.at, self.size = np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]
+        self.fresh = self.fresh.joined(_Places(keys, at, size))
+        if len(self.fresh.keys) > FRESH_WORDS:
+            self.known = self.known.joined(self.fresh)
+            self.fresh = _Places(np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64))
 
     def _code(self, words: list[bytes], coded: dict[bytes, bytes]) -> None:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
@@ -116,11 +151,39 @@ class WordEncoder:
     def _code_letters(self, words: list[bytes], coded: dict[bytes, bytes]) -> None:
         joined = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0]
         ids = np.array(joined.ids, self.kind)
-        stops = (np.flatnonzero(self.closes[ids]) + 1) * self.kind.itemsize
-        if len(stops) != len(words):  # a vocabulary without such marks
+        if np.count_nonzero(self.closes[ids]) != len(words):  # a vocabulary without such marks
             return self._code(words, coded)
+        self._cut(words, ids, coded)
+
+    def _cut(self, words: list[bytes], ids: np.ndarray, coded: dict[bytes, bytes]) -> None:
+        """The ids of words laid end to end, each of which ends with a marked one."""
+        stops = (np.flatnonzero(self.closes[ids]) + 1) * self.kind.itemsize
         data, edges = ids.tobytes(), [0, *stops.tolist()]
-        coded.update((w, data[a:b]) for w, a, b in zip(words, edges, edges[1:], strict=False))
+        coded.update((w, data[a:b]) for w, a, b in zip(words, edges[:-1], edges[1:], strict=True))
+
+
+def _quick_letters(path: str, vocabulary: Mapping[str, int]):
+    """A faster encoder for words of a to z, with the same ids; None where the file does not allow it.
+
+    A capital stands for a letter with the mark of a word's end, so words can be laid end to end. Ids in the order
+    of the merges are the ranks that ``tiktoken`` works with.
+    """
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges", [])]
+    ids = [vocabulary.get(m) for m in merges]
+    if None in ids or any(a >= b for a, b in zip(ids, ids[1:], strict=False)):
+        return None
+    import tiktoken
+
+    ranks = {}
+    for token, i in vocabulary.items():
+        stem = token.removesuffix("</w>")
+        if re.fullmatch("[a-z]+", stem):
+            ranks[(stem if stem == token else stem[:-1] + stem[-1].upper()).encode()] = i
+    if not all(bytes([c]) in ranks for c in (*range(65, 91), *range(97, 123))):
+        return None
+    return tiktoken.Encoding("letters", pat_str="[a-z]*[A-Z]", mergeable_ranks=ranks, special_tokens={})
 
 
 _MARKS = b".,;:!?"
