@@ -95,17 +95,16 @@ class WordEncoder:
             self._forget()
         place, known = self.known.find(distinct)
         late, lately = self.fresh.find(distinct)
+        at = np.where(known, self.known.at[place], self.fresh.at[late])
+        size = np.where(known, self.known.size[place], self.fresh.size[late])
         new = np.flatnonzero(~(known | lately))
         if len(new):
             first = np.zeros(len(distinct), np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             raw = tx.LOWER[tx.flat(texts)[0]].tobytes()
             spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
-            self._learn(distinct[new], [raw[a:b] for a, b in spans])
-            place, known = self.known.find(distinct)
-            late, lately = self.fresh.find(distinct)
-        at = np.where(known, self.known.at[place], self.fresh.at[late])[codes]
-        size = np.where(known, self.known.size[place], self.fresh.size[late])[codes]
+            at[new], size[new] = self._learn(distinct[new], [raw[a:b] for a, b in spans])
+        at, size = at[codes], size[codes]
         reach = np.cumsum(size)
         ids = self.pool[np.repeat(at - (reach - size), size) + np.arange(reach[-1] if len(reach) else 0)]
         counts = np.bincount(doc, size, len(texts)).astype(np.int64) + 1
@@ -115,8 +114,8 @@ class WordEncoder:
         out[inner] = ids
         return out, counts
 
-    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        """Add new words; sentence marks behind letters are tokens of their own."""
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Add new words and say where they lie; sentence marks behind letters are tokens of their own."""
         coded: dict[bytes, bytes] = {}
         stems, marks = list(words), [b""] * len(words)
         for i, word in enumerate(words):
@@ -131,8 +130,8 @@ class WordEncoder:
             turned = b"".join([w[:-1] + w[-1:].upper() for w in plain]).decode()
             self._cut(plain, np.array(self.quick.encode_ordinary(turned), self.kind), coded)
         letters = [w for w in wanted if w.decode().isalpha()]
-        for at in range(0, len(letters), 2_000):
-            self._code_letters(letters[at : at + 2_000], coded)
+        for k in range(0, len(letters), 2_000):
+            self._code_letters(letters[k : k + 2_000], coded)
         self._code(list(wanted.difference(letters)), coded)
         coded[b""] = b""
         parts = [coded[s] + coded[m] for s, m in zip(stems, marks, strict=True)]
@@ -143,6 +142,7 @@ class WordEncoder:
         if len(self.fresh.keys) > FRESH_WORDS:
             self.known = self.known.joined(self.fresh)
             self.fresh = _Places(np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64))
+        return at, size
 
     def _code(self, words: list[bytes], coded: dict[bytes, bytes]) -> None:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
