@@ -46,3 +46,17 @@ def test_candidates_are_not_shuffled(star):
     above_join, below = text.split("BroadcastHashJoin [region_code", 1)
     assert "Exchange" not in above_join and "WindowGroupLimit" in above_join
     assert "hashpartitioning(request_id" in below
+
+
+def test_a_large_catalogue_is_not_broadcast(spark):
+    market = spark.range(1, 601).selectExpr("concat('M', id % 3) AS region_code", "id AS game_title_id")
+    asked = spark.range(1, 401).selectExpr("concat('q', id) AS request_id", "concat('M', id % 4) AS region_code")
+    for requests in (asked.limit(40), asked):
+        small, large = (candidates.expand(requests, market, most) for most in (600, 100))
+        plan = large._jdf.queryExecution().executedPlan().toString()
+        # few requests are broadcast to the items; many meet them over a shuffle, without any broadcast
+        assert ("BroadcastExchange" in plan) == (requests is not asked) and ("SortMergeJoin" in plan) == (requests is asked)
+        assert "BuildRight" not in plan
+        names = ["request_id", "region_code", "game_title_id"]
+        rows = sorted(large.select(names).collect())
+        assert rows == sorted(small.select(names).collect()) and rows
