@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recloom.functions import hashing
 from recloom.functions.scalars import RECENCY_CAP, div0, popularity_trend
-from recloom.operators.trailing import running, trailing
+from recloom.operators.bounds import fits_broadcast
+from recloom.operators.trailing import of_spine, running, trailing
 from recloom.plans.incremental import Decay
 from recloom.plans.training import ATTEMPTS, N_POSITIVES, SEED, negatives, positives, recency_as_of, spine
 from recloom.schemas import AFFINITY_COLUMNS, FEATURE_COLS
@@ -61,18 +62,24 @@ def affinity_as_of(
     return both.withColumn("aff_for_category", div0(F.col("_own"), F.col("_all"))).drop("_category", "_own", "_all")
 
 
-def daily_popularity(events: DataFrame, event_ts: str, days: DataFrame) -> DataFrame:
-    """(day, game_title_id, rounds_30d, rounds_prev_30d) of every item with rounds in the 60 days before a day.
+def per_day(events: DataFrame, event_ts: str) -> DataFrame:
+    """(game_title_id, _on, _n): rounds by item and day."""
+    dated = events.groupBy("game_title_id", F.to_date(event_ts).alias("_on")).agg(F.count(F.lit(1)).alias("_n"))
+    return dated.filter(F.col("_on").isNotNull())
 
-    Rounds are counted by item and day first, so what is spread over the days after it is a row per item and day.
-    ``days`` (day) are those asked for.
+
+def daily_popularity(counted: DataFrame, asked: DataFrame) -> DataFrame:
+    """(day, game_title_id, rounds_30d, rounds_prev_30d) of those ``asked`` (day, game_title_id) with rounds in the
+    60 days before.
+
+    What is spread over the days after it is a row of ``per_day``, and only asked items and days leave the task.
     """
-    counted = events.groupBy("game_title_id", F.to_date(event_ts).alias("_on")).agg(F.count(F.lit(1)).alias("_n"))
     lag = F.explode(F.sequence(F.lit(1), F.lit(60))).alias("_lag")
-    spread = counted.filter(F.col("_on").isNotNull()).select("game_title_id", "_on", "_n", lag)
+    spread = of_spine(counted, asked, ["game_title_id"]).select("game_title_id", "_on", "_n", lag)
     spread = spread.select("game_title_id", F.date_add("_on", F.col("_lag")).alias("day"), "_n", "_lag")
+    asked = asked.distinct()
     return (
-        spread.join(days.distinct(), "day", "left_semi")
+        spread.join(F.broadcast(asked) if fits_broadcast(asked) else asked, ["day", "game_title_id"], "left_semi")
         .groupBy("day", "game_title_id")
         .agg(
             F.sum(F.when(F.col("_lag") <= 30, F.col("_n")).otherwise(0)).alias("rounds_30d"),
@@ -81,11 +88,35 @@ def daily_popularity(events: DataFrame, event_ts: str, days: DataFrame) -> DataF
     )
 
 
+def daily_most(counted: DataFrame) -> DataFrame:
+    """(day, most): the rounds in the 30 days before a day of the most played item, for days after any round.
+
+    The sum of an item changes the day after a round and 30 days later, and is constant in between. Such a stretch
+    is covered by two blocks whose length is a power of two, so that the tasks keep a maximum per block and no stretch
+    is spread over its days. An item has at most two rows per day of the calendar.
+    """
+    moves = F.explode(F.array(*[F.struct(F.lit(d).alias("lag"), (F.col("_n") * sign).alias("by")) for d, sign in ((1, 1), (31, -1))]))
+    moved = counted.select("game_title_id", "_on", moves.alias("m"))
+    moved = moved.groupBy("game_title_id", F.date_add("_on", F.col("m.lag")).alias("day")).agg(F.sum("m.by").alias("by"))
+    along = Window.partitionBy("game_title_id").orderBy("day")
+    level = F.sum("by").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    stretches = moved.select("day", level.alias("most"), F.lead("day").over(along).alias("end")).filter("most > 0")
+    bits = F.length(F.bin(F.date_diff("end", "day"))) - 1
+    stretches = stretches.select("most", "day", "end", bits.alias("bits"))
+    size = F.expr("shiftleft(1, bits)")
+    starts = F.explode(F.array(F.col("day"), F.date_sub("end", size))).alias("start")
+    blocks = stretches.select("bits", "most", starts).groupBy("bits", "start").agg(F.max("most").alias("most"))
+    days = F.explode(F.sequence(F.lit(0), size - 1)).alias("_nth")
+    days = blocks.select("most", "start", days).select("most", F.date_add("start", F.col("_nth")).alias("day"))
+    return days.groupBy("day").agg(F.max("most").alias("most"))
+
+
 def popularity_as_of(rows: DataFrame, events: DataFrame, event_ts: str) -> DataFrame:
     """Add ``game_rounds_30d_norm`` (against the most played item of that day) and ``popularity_trend``."""
     dated = rows.withColumn("_day", F.to_date("ref_ts"))
-    popular = stage(daily_popularity(events, event_ts, dated.select(F.col("_day").alias("day"))), "popularity")
-    most = popular.groupBy(F.col("day").alias("_top_day")).agg(F.max("rounds_30d").alias("_most"))
+    counted = stage(per_day(events, event_ts), "rounds-by-day")
+    popular = daily_popularity(counted, dated.select(F.col("_day").alias("day"), "game_title_id"))
+    most = stage(daily_most(counted), "most-played").select(F.col("day").alias("_top_day"), F.col("most").alias("_most"))
     named = popular.select(
         F.col("day").alias("_day"), "game_title_id", F.col("rounds_30d").alias("_now"), F.col("rounds_prev_30d").alias("_ago")
     )
@@ -115,15 +146,17 @@ def features_as_of(
     that ``items`` lacks are left out, as in ``training.static_features``.
     """
     kinds = items.select("game_title_id", "category_id")
-    events = stage(rounds.join(kinds, "game_title_id").select("player_id", "game_title_id", "category_id", event_ts), "dated-rounds")
+    # Only popularity looks at all rounds; the rest asks for the players of the rows.
+    own = stage(of_spine(rounds, rows, ["player_id"]).select("player_id", "game_title_id", event_ts), "own-rounds")
+    events = own.join(kinds, "game_title_id")
     rate = items.select(
         "game_title_id", (F.coalesce("return_to_player_pct", F.lit(0)).cast("double") / F.lit(100.0)).alias("rtp_frac")
     )
     out = recency_as_of(rows.join(rate, "game_title_id"), events, event_ts, cap=cap)
-    out = trailing(out, rounds, ["player_id"], "ref_ts", event_ts, {"30d": 720}, {"_rounds": F.lit(1)})
+    out = trailing(out, own, ["player_id"], "ref_ts", event_ts, {"30d": 720}, {"_rounds": F.lit(1)})
     out = out.withColumn("player_rounds_30d", F.col("_rounds_30d").cast("double")).drop("_rounds_30d")
     out = affinity_as_of(out, events, event_ts, columns, decay)
-    return popularity_as_of(out, events, event_ts)
+    return popularity_as_of(stage(out, "dated-features"), rounds.join(kinds, "game_title_id"), event_ts)
 
 
 def leak_free_dataset(

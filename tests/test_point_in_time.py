@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recloom.plans import point_in_time
+from recloom.plans import point_in_time, training
 from recloom.plans.incremental import Decay
 from recloom.schemas import FEATURE_COLS
 
@@ -100,3 +100,48 @@ def test_empty(tables):
     assert point_in_time.features_as_of(frame.limit(0), rounds, items, COLUMNS).count() == 0
     none = point_in_time.features_as_of(frame, rounds.limit(0), items, COLUMNS).collect()
     assert len(none) == len(rows) and {r.aff_for_category + r.game_rounds_30d_norm + r.popularity_trend for r in none} == {0.0}
+
+
+def test_only_what_the_rows_ask_for_is_written(tables, monkeypatch):
+    frame, rounds, items, *_, kinds = tables
+    written = {}
+
+    def counting(df, name, stage=point_in_time.stage):
+        out = stage(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(point_in_time, "stage", counting)
+    got = point_in_time.features_as_of(frame.filter("player_id = 2"), rounds, items, COLUMNS)
+    want = point_in_time.features_as_of(frame, rounds, items, COLUMNS).filter("player_id = 2")
+    own = rounds.filter("player_id = 2").count()
+    assert sorted(map(str, got.select("row_id", *FEATURE_COLS).collect())) == sorted(
+        map(str, want.select("row_id", *FEATURE_COLS).collect())
+    )
+    written.clear()
+    point_in_time.features_as_of(frame.filter("player_id = 2"), rounds, items, COLUMNS)
+    assert max(written.values()) < rounds.count() and own in written.values()
+
+
+def test_daily_most_equals_the_days_counted_one_by_one(spark):
+    random = np.random.default_rng(7)
+    rows = {(int(random.integers(1, 6)), int(random.integers(0, 150))): int(random.integers(1, 9)) for _ in range(90)}
+    start = T0.date()
+    frame = spark.createDataFrame(
+        [(g, start + timedelta(days=d), n) for (g, d), n in rows.items()], "game_title_id long, _on date, _n long"
+    )
+    want = {}
+    for day in range(1, 200):
+        sums = [sum(rows.get((g, d), 0) for d in range(day - 30, day)) for g in range(1, 6)]
+        if max(sums):
+            want[start + timedelta(days=day)] = max(sums)
+    assert {r.day: r.most for r in point_in_time.daily_most(frame).collect()} == want
+
+
+def test_recency_reads_the_events_of_the_rows_players(tables):
+    frame, rounds, items, *_ = tables
+    known = rounds.join(items, "game_title_id")
+    few = training.recency_as_of(frame.filter("player_id = 2"), known, "round_start_timestamp")
+    assert "LeftSemi" in few._jdf.queryExecution().optimizedPlan().toString()
+    all_rows = training.recency_as_of(frame, known, "round_start_timestamp").filter("player_id = 2")
+    assert sorted(map(str, few.collect())) == sorted(map(str, all_rows.collect()))
