@@ -60,3 +60,10 @@ def test_a_large_catalogue_is_not_broadcast(spark):
         names = ["request_id", "region_code", "game_title_id"]
         rows = sorted(large.select(names).collect())
         assert rows == sorted(small.select(names).collect()) and rows
+
+
+def test_block_lists_are_not_shuffled(star):
+    """What a trace shows joins the request before the block list of its market does."""
+    text = bulk.run(star).traces._jdf.queryExecution().optimizedPlan().toString()
+    outer = [line for line in text.splitlines() if "Join LeftOuter" in line]
+    assert "region_code" in outer[0] and "request_id" in outer[1], outer
