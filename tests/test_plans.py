@@ -6,7 +6,7 @@ import pytest
 
 from recloom.plans import candidates, rails
 from recloom.queries import candidates as bulk
-from recloom.queries import features, joins
+from recloom.queries import features, joins, monitoring
 from recloom.sources.star import AFFINITY, Star
 from tests.conftest import SF_DIR
 
@@ -67,3 +67,9 @@ def test_block_lists_are_not_shuffled(star):
     text = bulk.run(star).traces._jdf.queryExecution().optimizedPlan().toString()
     outer = [line for line in text.splitlines() if "Join LeftOuter" in line]
     assert "region_code" in outer[0] and "request_id" in outer[1], outer
+
+
+def test_order_lines_are_shuffled_once(star):
+    text = monitoring.order_log(star)._jdf.queryExecution().optimizedPlan().toString()
+    # players and markets are joined to the orders, below the only join of the lines
+    assert "l_orderkey" in next(line for line in text.splitlines() if "Join" in line)
