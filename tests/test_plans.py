@@ -73,3 +73,10 @@ def test_order_lines_are_shuffled_once(star):
     text = monitoring.order_log(star)._jdf.queryExecution().optimizedPlan().toString()
     # players and markets are joined to the orders, below the only join of the lines
     assert "l_orderkey" in next(line for line in text.splitlines() if "Join" in line)
+
+
+@pytest.mark.parametrize("query", [bulk.ag13_whole, bulk.rc5_whole])
+def test_exclusions_roll_the_rounds_up_once(star, query, monkeypatch):
+    made, rollup = [], bulk.rollup
+    monkeypatch.setattr(bulk, "rollup", lambda star: made.append(1) or rollup(star))
+    assert query(star).count() > 0 and len(made) == 1
