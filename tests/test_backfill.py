@@ -1,5 +1,8 @@
 """Backdated requests cover all active players."""
 
+from pyspark.sql import functions as F
+
+from recloom.operators.trailing import of_spine
 from recloom.plans import monitor
 
 
@@ -11,3 +14,28 @@ def test_every_active_player_is_logged(spark):
     assert {r.slot for r in rows} == set(range(7)) and len({r.request_id for r in rows}) == 400
     cut = monitor.backfill_requests(players, regions, "2024-01-10 00:00:00", per_region=2)
     assert cut.count() == 2 * 2 * 7
+
+
+def test_recent_rounds_of_few_and_many_players(spark, monkeypatch):
+    """Windows are half-open; rounds of others, out of the span of all windows or without a key count nowhere."""
+    asked = spark.sql(
+        "SELECT concat('q', id) AS request_id, id AS player_id, timestamp_ntz'2024-01-05 00:00:00' "
+        "+ make_dt_interval(id % 3, id % 5) AS ref_ts FROM range(40)"
+    )
+    rounds = spark.sql(
+        "SELECT if(id % 53 = 0, null, id % 60) AS player_id, id % 7 AS game_title_id, if(id % 41 = 0, null, "
+        "timestamp_ntz'2024-01-02 00:00:00' + make_dt_interval(0, id % 150)) AS round_start_timestamp FROM range(9000)"
+    )
+    items = spark.range(6).selectExpr("id AS game_title_id", "id % 3 AS category_id")
+    categories = spark.range(3).selectExpr("id AS category_id")
+    r, q = rounds.alias("r").join(items, "game_title_id"), asked.alias("q")
+    inside = "r.player_id = q.player_id AND r.round_start_timestamp < q.ref_ts AND r.round_start_timestamp >= q.ref_ts - INTERVAL 24 HOUR"
+    want = q.join(r, F.expr(inside)).groupBy("request_id", "category_id").count()
+    want = sorted(tuple(x) for x in want.collect())
+    for most in (40, 39):
+        monkeypatch.setitem(of_spine.__globals__, "fits_broadcast", lambda df, _, most=most: df.count() <= most)
+        got = monitor.recent_before(asked, rounds, items, categories)
+        text = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "scalar-subquery" in text and ("LeftSemi" in text) == (most == 40)
+        assert sorted(tuple(x)[:3] for x in got.collect()) == want and want
+    assert monitor.recent_before(asked.limit(0), rounds, items, categories).count() == 0
