@@ -3,8 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from recloom.plans import candidates, rails
+from recloom.functions import hashing
+from recloom.operators import ranking
+from recloom.plans import candidates, rails, training
 from recloom.queries import candidates as bulk
 from recloom.queries import features, joins, monitoring
 from recloom.sources.star import AFFINITY, Star
@@ -80,3 +83,32 @@ def test_exclusions_roll_the_rounds_up_once(star, query, monkeypatch):
     made, rollup = [], bulk.rollup
     monkeypatch.setattr(bulk, "rollup", lambda star: made.append(1) or rollup(star))
     assert query(star).count() > 0 and len(made) == 1
+
+
+@pytest.mark.parametrize("hasher", [hashing.mixed, hashing.portable])
+def test_a_sample_is_cut_below_the_joins(spark, hasher):
+    played = spark.range(3000).selectExpr("if(id % 300 = 7, null, id) AS player_id", "id % 50 AS game_title_id")
+    items = spark.range(45).selectExpr("id AS game_title_id", "id % 4 AS category_id")
+    known, keys = played.join(items, "game_title_id"), ["player_id", "game_title_id"]
+    ranked = ranking.hash_rank(known, keys, 5, hasher=hasher)
+    for n in (1, 40, 5000):
+        sample = ranking.hash_sample(known, keys, n, 5, hasher)
+        text = sample._jdf.queryExecution().optimizedPlan().toString()
+        # the rows are cut before they meet the items
+        lines = text.splitlines()
+        cut = next(i for i, line in enumerate(lines) if "Filter" in line and "scalar-subquery" in line)
+        assert any("Join" in line and "game_title_id" in line for line in lines[:cut])
+        pick = [*keys, "category_id"]
+        assert sorted(map(str, sample.select(pick).collect())) == sorted(map(str, ranked.filter(F.col("hash_rank") <= n).select(pick).collect()))
+
+
+def test_events_of_a_sample_are_written_once(spark, monkeypatch):
+    written, stage = [], training.stage
+    monkeypatch.setattr(training, "stage", lambda df, name: written.append(name) or stage(df, name))
+    rows = spark.sql("SELECT 1L AS player_id, 2L AS category_id, timestamp_ntz'2024-01-02 00:00:00' AS ref_ts")
+    events = spark.sql(
+        "SELECT id % 2 AS player_id, if(id % 3 = 0, null, 2L) AS category_id, timestamp_ntz'2024-01-01 12:00:00' "
+        "+ make_dt_interval(0, id) AS ts FROM range(24)"
+    )
+    got = training.recency_as_of(rows, events, "ts").collect()
+    assert [r.recent_cat_activity_norm for r in got] == [0.4] and written == ["asked-events"]
