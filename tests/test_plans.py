@@ -112,3 +112,12 @@ def test_events_of_a_sample_are_written_once(spark, monkeypatch):
     )
     got = training.recency_as_of(rows, events, "ts").collect()
     assert [r.recent_cat_activity_norm for r in got] == [0.4] and written == ["asked-events"]
+
+
+def test_features_of_a_category_are_worked_out_before_its_items_are_met(star):
+    done = bulk.run(star)
+    text = done.candidates._jdf.queryExecution().optimizedPlan().toString()
+    lines = text.splitlines()
+    met = next(i for i, line in enumerate(lines) if "Join" in line and "category_id" in line)
+    above, below = "\n".join(lines[:met]), "\n".join(lines[met:])
+    assert "excluded_categories" in below and "excluded_categories" not in above and "recent#" not in above
