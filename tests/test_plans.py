@@ -121,3 +121,21 @@ def test_features_of_a_category_are_worked_out_before_its_items_are_met(star):
     met = next(i for i, line in enumerate(lines) if "Join" in line and "category_id" in line)
     above, below = "\n".join(lines[:met]), "\n".join(lines[met:])
     assert "excluded_categories" in below and "excluded_categories" not in above and "recent#" not in above
+
+
+def test_requests_with_many_categories_are_not_broadcast(spark):
+    columns = {k: f"aff_{k}" for k in range(1, 41)}
+    market = spark.range(1, 81).selectExpr(
+        "'M' AS region_code", "id AS game_title_id", "id % 40 + 1 AS category_id", "'s' AS subvertical", "id AS rounds_30d",
+        "0.5D AS ggr_30d_eur", "0.5D AS popularity_trend", "0.5D AS rtp_frac", "cast(NULL AS string) AS market_reason",
+    )
+    ready = spark.range(1, 11).selectExpr(
+        "concat('q', id) AS request_id", "id AS player_id", "'M' AS region_code", "1 AS top_n", "array(id) AS excluded_categories",
+        "array('t') AS excluded_subverticals", "map(id, 0.5D) AS affinities", "id AS player_rounds_30d", "map(id, id) AS recent",
+    )
+    # ten requests would fit, their 400 rows, one for each category, do not
+    spread, held = (candidates.assemble(ready, market, columns=columns, max_broadcast_rows=most) for most in (60, 600))
+    text = spread._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[[^]]*_salt", text)
+    assert sorted(map(str, spread.collect())) == sorted(map(str, held.collect()))
+    assert held.count() == 800
