@@ -43,3 +43,40 @@ def test_recent_rounds_of_few_and_many_players(spark, monkeypatch):
         assert "scalar-subquery" in read["asked-rounds"] and ("LeftSemi" in read["asked-rounds"]) == (most == 40)
         assert sorted(tuple(x)[:3] for x in got.collect()) == want and want
     assert monitor.recent_before(asked.limit(0), rounds, items, categories).count() == 0
+
+
+def test_first_logged_day_needs_no_candidates(spark):
+    """Requests whose every item is barred, or whose market shows none, have no rows and so no day."""
+    market = spark.createDataFrame(
+        [("A", 1, "one", 1, None), ("A", 2, "two", 2, None), ("A", 3, "three", 3, "MARKET_GAME_BLOCK"), ("C", 1, "one", 1, "MARKET_GAME_BLOCK"),
+         ("D", 4, None, 7, None)],
+        "region_code string, category_id long, subvertical string, game_title_id long, market_reason string",
+    )
+    rows = [
+        ("barred", "A", [1], ["two"], 1), ("blocked", "C", [], [], 2), ("elsewhere", "B", [], [], 3),
+        ("lost", None, [], [], 3), ("kept", "A", [1], ["one"], 5), ("late", "A", [], [], 6), ("unnamed", "D", [1], ["two"], 4),
+    ]
+    ready = spark.createDataFrame(
+        rows, "request_id string, region_code string, excluded_categories array<long>, excluded_subverticals array<string>, day int"
+    ).selectExpr("*", "timestamp_ntz'2024-01-01 07:00:00' + make_dt_interval(day) AS ref_ts")
+    first = lambda df: str(spark.range(1).select(monitor.first_logged(df, market)).first()[0])
+    assert first(ready) == "2024-01-05 00:00:00"
+    assert first(ready.filter("region_code <> 'D'")) == "2024-01-06 00:00:00"
+    assert first(ready.filter("day < 4")) == "None"
+
+
+def test_baseline_of_a_backfill_expands_the_first_day_only(spark):
+    from recloom.queries import monitoring
+    from recloom.sources.star import Star
+    from tests.conftest import SF_DIR
+
+    log, first = monitoring.backfill(Star(spark, SF_DIR), None)
+    log = log.withColumn("event_ts", F.col("ref_ts"))
+    day = monitor.baseline(log, ["row_id"], first=first)
+    wanted = monitor.baseline(log, ["row_id"])
+    assert day.count() == wanted.count() > 0 and day.exceptAll(wanted).count() == 0
+    plan = day._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rounds_30d") and "rtp_frac" not in first._jc.toString()
+    meets = [n for n, line in enumerate(plan.splitlines()) if "Join Inner" in line and "category_id" in line]
+    picks = [n for n, line in enumerate(plan.splitlines()) if "date_trunc" in line and "Filter" in line]
+    assert meets and picks and min(picks) > min(meets)  # the day is picked below the join with the items
